@@ -57,8 +57,16 @@ def discard(df: DataFrame) -> None:
 # ---------------------------------------------------------------- Arrow helpers
 
 
-def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """``mapInArrow`` with per-worker state: ``start()`` runs once a task, its result turns a batch into columns."""
+#: Rows of a batch that are in work at once, so that a worker's memory follows a few texts and not the batch.
+ROWS = 256
+
+
+def sliced(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = ROWS) -> DataFrame:
+    """``mapInArrow`` with per-worker state: ``start()`` runs once a task, its result turns some rows into columns."""
     from pyspark.sql.types import StructType
 
     names = StructType.fromDDL(schema).fieldNames()
@@ -66,8 +74,8 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = start()
         for batch in batches:
-            if batch.num_rows:
-                got = one(batch)
+            for some in sliced(batch, rows):
+                got = one(some)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (got[n] for n in names)], names)
 
     return df.mapInArrow(run, schema)

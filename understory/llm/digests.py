@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import parts_of, range_dealt
+from understory.llm.common import parts_of, range_dealt, sliced
 
 BUCKETS = 256
 #: Difference at which two digests count as unlike; scores beyond are cut there.
@@ -114,7 +114,7 @@ def fingerprinted(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
                     held = p, i, t, digest(t)
 
         types = None
-        for b in batches:
+        for b in (some for batch in batches for some in sliced(batch)):
             types = types or [b.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             if out := list(rows_(b)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)

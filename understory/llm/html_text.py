@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import parts_of, range_dealt
+from understory.llm.common import parts_of, range_dealt, sliced
 
 # ---------------------------------------------------------------- blocks of a page
 
@@ -290,7 +290,7 @@ def extracted(pages: DataFrame, ident: str = "page_id", url: str = "url", page:
             return here[4], here[5], "\n".join(main_lines(here[6], best))
 
         types = None
-        for b in batches:
+        for b in (some for batch in batches for some in sliced(batch)):
             types = types or [b.schema.field(3).type, b.schema.field(4).type, pa.string()]
             out = []
             for p, copy, k, i, u, h in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from understory.llm.common import sliced
 from understory.llm.tokens import tokenized
 
 CAPACITY = 4096
@@ -103,7 +104,7 @@ def harmonic_pack(ids: DataFrame, capacity: int = CAPACITY, least: int = LEAST)
 
         done: list[tuple] = []
         size = 0
-        for b in batches:
+        for b in (some for batch in batches for some in sliced(batch)):
             types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n = len(raw or b"") // 4
