@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from understory.functions import maths, text
 from understory.operators import aggregates, filters, joins, models, raster, sampling, sets, stats, windows
 from understory.plans.fixtures import oracle, view
+from understory.sources import catalogues, files
+from understory.streaming import climate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -654,3 +656,62 @@ def sta_block_bootstrap(spark, d):
     scored_ = models.fold_prior(growth(spark, d), "fold", 5, "type", "grp", "s", "e", 100)
     sums = stats.block_sums(scored_, "block", F.col("predicted") - F.col("e"), F.col("s") - F.col("e"))
     return spark.createDataFrame([stats.paired_block_bootstrap(sums)])
+
+
+# ---------------------------------------------------------------- sources and streams
+
+
+@query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def src_json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""SELECT id, CASE WHEN value >= 0 THEN value END AS value FROM cells""", "cells")
+def src_nan_to_null(spark, d):
+    return files.nan_to_null(view(spark, d, "cells").select("id", F.when(F.col("value") >= 0, F.col("value")).otherwise(float("nan")).alias("value")))
+
+
+def polylines(spark, d):
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    return view(spark, d, "lines").select("line", F.array(F.array(x1, y1), F.array(x2, y2), F.array(x2 + 30, y2 + 40)).alias("points"))
+
+
+@query("""SELECT line, row_number() OVER (PARTITION BY line ORDER BY edge, k) - 1 AS segment, round(a + (k + 5e-1) / n * (b - a), 4) AS x, round(len / n, 4) AS length FROM (SELECT *, greatest(1, ceil(len / 12)) AS n FROM (
+    SELECT line, 0 AS edge, x1 AS a, x2 AS b, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM lines UNION ALL SELECT line, 1, x2, x2 + 30, 50e0 FROM lines) WHERE len > 0), LATERAL (SELECT unnest(range(CAST(n AS BIGINT))) AS k)""", "lines")
+def arr_segmented(spark, d):
+    got = catalogues.segmented(polylines(spark, d), 12.0)
+    return got.select("line", F.col("segment").cast("long").alias("segment"), F.round("x", 4).alias("x"), F.round("length", 4).alias("length"))
+
+
+@query("""SELECT line, count(*) AS n FROM (SELECT line, greatest(1, ceil(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 7)) + 9 AS n FROM lines), LATERAL (SELECT unnest(range(CAST(n AS BIGINT)))) GROUP BY line""", "lines")
+def arr_densified(spark, d):
+    return catalogues.densified(polylines(spark, d), 7.0).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query()
+def src_power_spans(spark, d):
+    """Ways of a nested map document, cut at their supports."""
+    el = lambda kind, ident, **kw: F.struct(F.lit(kind).alias("type"), ident.cast("long").alias("id"), kw.get("lon", F.lit(None).cast("double")).alias("lon"), kw.get("lat", F.lit(None).cast("double")).alias("lat"), kw.get("nodes", F.lit(None).cast("array<bigint>")).alias("nodes"), kw["tags"].alias("tags"))
+    s = view(spark, d, "segments")
+    node = lambda k: el("node", F.col("id") * 10 + k, lon=F.col("lon") + k / 100, lat=F.col("lat"), tags=F.create_map(F.lit("power"), F.lit("tower" if k == 2 else "line")))
+    way = el("way", F.col("id"), nodes=F.transform(F.array(*[F.lit(k) for k in range(5)]), lambda k: (F.col("id") * 10 + k).cast("long")), tags=F.create_map(F.lit("voltage"), F.lit("115000;60000")))
+    docs = s.select(F.to_json(F.struct(F.array(*[node(k) for k in range(5)], way).alias("elements"))).alias("json"))
+    return rounded(catalogues.spans(catalogues.power_lines(docs)), 6)
+
+
+WEEKS_SQL = "SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS from_time, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2"
+
+
+@query(f"SELECT strftime(from_time, '%Y-%m-%d') AS from_day, event_type, n, total, mean FROM ({WEEKS_SQL})")
+def str_windowed_batch(spark, d):
+    got = rounded(climate.windowed(table(spark, d, "events"), ("event_type",), width="7 days"))
+    return got.select(F.date_format("from_time", "yyyy-MM-dd").alias("from_day"), "event_type", "n", "total", "mean")
+
+
+@query(f"SELECT strftime(from_time, '%Y-%m-%d') AS from_day, event_type, n, total, mean FROM ({WEEKS_SQL}) WHERE from_time + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_windowed(spark, d):
+    """The same through a stream: windows that the watermark has closed."""
+    out, mark = files.shared_path(spark, "stream"), files.shared_path(spark, "stream-state")
+    climate.run(climate.windowed(climate.events(spark, f"{d}/events.parquet"), ("event_type",), width="7 days"), out, mark).awaitTermination()
+    got = rounded(spark.read.schema("from_time timestamp, event_type string, n long, total double, mean double").parquet(out))
+    return got.select(F.date_format("from_time", "yyyy-MM-dd").alias("from_day"), "event_type", "n", "total", "mean")
