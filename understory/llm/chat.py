@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -108,6 +109,12 @@ def _role(layout: Layout, role: Column) -> Column:
     return role
 
 
+def _turn(layout: Layout) -> Callable[[Column], Column]:
+    """An element of a layout's array as a turn."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return lambda t: F.struct(_role(layout, text(t[layout.role])).alias("role"), text(t[layout.text]).alias("text"))
+
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -125,7 +132,7 @@ def canonical(df: DataFrame, ident: str = "conv_id", layouts: tuple[Layout, ...]
         return got.select(ident, F.transform("t", lambda t: F.struct(_role(layout, t["role"]).alias("role"), t["text"].alias("text"))).alias("turns"))
     lists = [F.array(*_flat_turns(layout, lambda p: F.col(p).cast("string")))] if layout.flat else []
     if layout.turns:
-        lists.append(F.transform(F.coalesce(F.col(layout.turns), F.array().cast(df.schema[layout.turns].dataType)), lambda t: F.struct(_role(layout, text(t[layout.role])).alias("role"), text(t[layout.text]).alias("text"))))
+        lists.append(F.transform(F.coalesce(F.col(layout.turns), F.array().cast(df.schema[layout.turns].dataType)), _turn(layout)))
     return df.select(ident, F.filter(F.concat(*[x.cast(TURNS) for x in lists]), lambda t: t.isNotNull()).alias("turns"))
 
 
@@ -134,16 +141,15 @@ def canonical_json(df: DataFrame, record: str, ident: str = "conv_id", layouts:
 
     The paths come from each record's own variant schema: field names outside, types left out.
     """
-    text = lambda c: F.coalesce(c, F.lit(""))
     v = F.try_parse_json(F.col(record))
     kinds: dict[str, Column] = {}
     for x in layouts:
         if x.order:
             continue
-        get = lambda p, v=v: F.try_variant_get(v, "$." + p, "string")
+        get = lambda p: F.try_variant_get(v, "$." + p, "string")
         lists = [F.array(*_flat_turns(x, get)).cast(TURNS)] if x.flat else []
         if x.turns:
-            lists.append(F.transform(F.try_variant_get(v, "$." + x.turns, f"array<struct<{x.role}:string,{x.text}:string>>"), lambda t, x=x: F.struct(_role(x, text(t[x.role])).alias("role"), text(t[x.text]).alias("text"))).cast(TURNS))
+            lists.append(F.transform(F.try_variant_get(v, "$." + x.turns, f"array<struct<`{x.role}`:string,`{x.text}`:string>>"), _turn(x)).cast(TURNS))
         kinds[x.fingerprint] = F.filter(F.concat(*lists), lambda t: t.isNotNull())
 
     def start():

@@ -123,7 +123,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_links(fps: DataFrame) -> DataFrame:
-    """Distinct (fp) -> links (u, v) that connect all fingerprints of at most three differing bits, at most one a member and bucket."""
+    """Distinct (fp) -> links (u, v) from each bucket's members to the least one they are chained to: what is linked is connected, with at most one link a member and bucket."""
     spark = fps.sparkSession
     rows = bucket_keys(fps)
     multi = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -153,7 +153,7 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     Rows without an id are kept unless their component has an id.
     """
     found = near_duplicates(docs, ident, text)
-    stay = found.where(F.col(ident).eqNullSafe(F.col("component_id"))).select(F.col(ident).alias("_id")).distinct()
-    kept = docs.join(stay, docs[ident].eqNullSafe(stay["_id"]), "left_semi")
+    stay = found.where(F.col(ident).eqNullSafe(F.col("component_id"))).select(F.col(ident).alias("_kept_id")).distinct()
+    kept = docs.join(stay, docs[ident].eqNullSafe(stay["_kept_id"]), "left_semi")
     seen = F.expr(f"row_number() over (partition by `{ident}`, xxhash64(`{text}`) order by `{ident}`)")
-    return kept.withColumn("_seen", seen).where("_seen = 1").drop("_seen")
+    return kept.withColumn("_kept_seen", seen).where("_kept_seen = 1").drop("_kept_seen")
