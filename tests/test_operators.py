@@ -274,3 +274,36 @@ def test_gate_needs_every_check():
     assert all(stats.gate(rows, limits).values())
     assert not stats.gate([{**rows[0], "nmad": 0.5}, *rows[1:]], limits)["noise"]
     assert models.gate_decision({"a": -0.1, "b": 0.0}) == "FAIL"
+
+
+def test_nested_catalogues(spark):
+    doc = lambda s: spark.createDataFrame([(s,)], "json string")
+    got = catalogues.datasets(doc('{"Datasets":[{"Dataset":{"identifier":{"value":"a"},"name":"n","temporalCoverage":"2020-01-01 / 2020-02-01","spatialCoverage":{"geo":{"box":"38 -123 39 -122"}}}},{"identifier":"b","spatialCoverage":{"geo":{"box":"1 2"}}}]}')).collect()
+    assert [(r.identifier, r.start, r.end, r.x0, r.y1) for r in got] == [("a", "2020-01-01", "2020-02-01", -123.0, 39.0), ("b", "", "", None, None)]
+    fires = catalogues.perimeters(doc('{"features":[{"properties":{"FIRE_NAME":" X ","YEAR_":"2017","GIS_ACRES":null},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[0,1]]],[[[5,5],[6,5],[5,6]]]]}}]}')).first()
+    assert (fires.name, fires.year, fires.acres, len(fires.rings)) == ("X", 2017, 0.0, 2)
+    types = catalogues.identified_types(doc('{"results":[{"attributes":{"EVT_Code":"7","EVT_NAME":"Blue oak"}}]}').union(doc('{"results":[]}'))).collect()
+    assert [(r.code, r.name, r.habit) for r in types] == [(7, "Blue oak", "hardwood"), (-1, "Unknown", "other")]
+    meta = catalogues.point_metadata(doc('{"points":9,"bounds":[0,0,0,1,1,1],"srs":{"horizontal":"3857"}}')).first()
+    assert (meta.points, meta.conforming[3], meta.epsg) == (9, 1.0, "3857")
+    with pytest.raises(Exception, match="metadata lacks"):
+        catalogues.point_metadata(doc('{"points":9}')).collect()
+
+
+def test_fold_curves_recover_growth(spark):
+    r = np.random.default_rng(4)
+    s = r.uniform(2, 30, 600)
+    pdf = pd.DataFrame({"fold": r.integers(0, 3, 600), "kind": r.choice(["a", "b", "group:x"], 600), "grp": "g", "s": s, "e": models.curve(s, 9.0, 70.0, 0.04, 2.0)})
+    got = models.fold_curves(spark.createDataFrame(pdf), "fold", 3, "kind", "grp", "s", "e", 9.0, {"a": 70.0, "b": 70.0}, 20).toPandas()
+    assert len(got) == 600 and np.abs(got.predicted - got.e).mean() < 0.05
+
+
+def test_splits_and_spread():
+    stats.check_splits("2013-01-01", "2023-12-31", ("2018-01-01", "2018-02-01", "2020-01-01", "2020-02-01", "2023-01-01"))
+    with pytest.raises(ValueError):
+        stats.check_splits("2013-01-01", "2022-12-31", ("2018-01-01", "2018-02-01", "2020-01-01", "2020-02-01", "2023-01-01"))
+    rows = [{"scale": s, "admitted": True, "nmad": 0.2 * (s / 10) ** -0.2, "decay": 0.1, "base_sigma": 0.2} for s in (10, 20, 40)]
+    assert stats.reference_spread(rows, 20, 10)[1] == "measured"
+    value, how = stats.reference_spread(rows, 80, 10)
+    assert how == "extrapolated" and value == pytest.approx(0.2 * 8**-0.2)
+    assert stats.mean_importance([{"a": 1.0}, {"a": 0.5, "b": 0.5}]) == {"a": 0.75, "b": 0.25}

@@ -25,6 +25,31 @@ def growth_habit(name: Column) -> Column:
     return out.otherwise("other")
 
 
+#: Fixed values of the source map: life forms that are a group by themselves, and first words of named classes that decide the mixed ones.
+LIFE_FORMS = {
+    "conifer forest": ("conifer forest",),
+    "hardwood forest": ("hardwood forest",),
+    "shrub": ("shrub", "riparian shrub", "non-native shrub"),
+    "grass": ("herbaceous", "herbaceous wetland"),
+}
+MIXED_FORMS = ("mixed conifer-hardwood forest", "non-native forest")
+CONIFER_NAMES = ("pseudotsuga", "sequoia", "pinus", "hesperocyparis")
+HARDWOOD_NAMES = ("quercus", "eucalyptus")
+
+
+def broad_group(map_class: Column, lifeform: Column) -> Column:
+    """One of five broad groups from a map's life form, and from the named class where the form is mixed; missing values are ``other``."""
+    form, name = F.lower(F.coalesce(lifeform, F.lit(""))), F.lower(F.coalesce(map_class, F.lit("")))
+    begins = lambda words: name.rlike("^(?:" + "|".join(words) + ")")
+    mixed = form.isin(*MIXED_FORMS)
+    rules = [(form.isin(*forms), group) for group, forms in LIFE_FORMS.items()]
+    rules += [(mixed & begins(CONIFER_NAMES), "conifer forest"), (mixed & begins(HARDWOOD_NAMES) | (form == "riparian forest") & begins(("populus",)), "hardwood forest")]
+    out = F.lit("other")
+    for rule, group in reversed(rules):
+        out = F.when(rule, group).otherwise(out)
+    return out
+
+
 def voltage_kv(value: Column) -> Column:
     """Largest of the volts listed with ``;``, ``/`` or ``,`` in kilovolts; unreadable parts are skipped, null if none is left."""
     parts = F.split(F.translate(value, ",/", ";;"), ";")

@@ -29,12 +29,13 @@ def median_prior(df: DataFrame, kind: str, group: str, start: str, end: str, lea
     return got.select(kind, F.when(own, F.concat(F.lit("type:"), F.col(kind))).otherwise(F.concat(F.lit("group:"), F.col(group))).alias("scope"), F.when(own, F.col("t")).otherwise(F.col("b")).alias("increment"), "n")
 
 
-def fold_prior(df: DataFrame, fold: str, folds: int, kind: str, group: str, start: str, end: str, least: int) -> DataFrame:
-    """Rows with ``predicted``: start plus the median growth of their scope in all other folds. Every row is copied to the folds that train on it."""
+def fold_prior(df: DataFrame, fold: str, folds: int, kind: str, group: str, start: str, end: str, least: int, statistic: str = "median") -> DataFrame:
+    """Rows with ``predicted``: start plus the median (or mean) growth of their scope in all other folds. Every row is copied to the folds that train on it."""
     rows = df.select(fold, kind, group, (F.col(end) - F.col(start)).alias("g"))
+    middle = {"median": F.percentile("g", 0.5), "mean": F.avg("g")}[statistic]
     train = rows.withColumn("_f", F.explode(F.array(*[F.lit(k) for k in range(folds)]))).where(F.col("_f") != F.col(fold))
-    by_type = train.groupBy("_f", kind).agg(F.count("*").alias("_n"), F.percentile("g", 0.5).alias("_t"))
-    by_group = train.groupBy("_f", group).agg(F.percentile("g", 0.5).alias("_b"))
+    by_type = train.groupBy("_f", kind).agg(F.count("*").alias("_n"), middle.alias("_t"))
+    by_group = train.groupBy("_f", group).agg(middle.alias("_b"))
     own = (F.coalesce("_n", F.lit(0)) >= least) & ~F.col(kind).startswith("group:")
     out = df.withColumn("_f", F.col(fold)).join(by_type, ["_f", kind], "left").join(by_group, ["_f", group], "left")
     return out.withColumn("predicted", F.col(start) + F.when(own, F.col("_t")).otherwise(F.col("_b"))).drop("_f", "_n", "_t", "_b")
@@ -53,13 +54,13 @@ def class_ceilings(df: DataFrame, kind: str, start: str, end: str, literature: M
 # ---------------------------------------------------------------- growth curve
 
 
-def curve(start: np.ndarray, years: float, a: float, k: float, c: float) -> np.ndarray:
+def curve(start: np.ndarray, years: float, a: float | np.ndarray, k: float, c: float) -> np.ndarray:
     h = np.minimum(start, a)
     out = a * (1 - (1 - (h / a) ** (1 / c)) * np.exp(-k * years)) ** c
     return np.where(start >= a, start, out)
 
 
-def fit_curve(start: np.ndarray, end: np.ndarray, years: float, a: float | None, bounds: tuple[tuple[float, float], tuple[float, float]] = ((1e-4, 0.5), (1.01, 6.0)), scale: float = 1.0, rounds: int = 60) -> dict[str, float]:
+def fit_curve(start: np.ndarray, end: np.ndarray, years: float, a: float | np.ndarray | None, bounds: tuple[tuple[float, float], tuple[float, float]] = ((1e-4, 0.5), (1.01, 6.0)), scale: float = 1.0, rounds: int = 60) -> dict[str, float]:
     """Robust (soft L1) least squares for k and c, and the ceiling where it isn't given, within bounds.
 
     Levenberg-Marquardt on logit-transformed parameters with reweighting, from a coarse grid's best point.
@@ -94,7 +95,7 @@ def fit_curve(start: np.ndarray, end: np.ndarray, years: float, a: float | None,
         if gain < 1e-10 * (1 + now):
             break
     p = out(t)
-    return {"a": float(p[2]) if free else float(a), "k": float(p[0]), "c": float(p[1]), "loss": now, "n": len(start)}
+    return {"a": float(p[2]) if free else float(np.mean(a)), "k": float(p[0]), "c": float(p[1]), "loss": now, "n": len(start)}
 
 
 def fitted_curves(df: DataFrame, scope: str, start: str, end: str, years: float, ceiling: str | None, most: int = 200_000) -> DataFrame:
@@ -104,13 +105,38 @@ def fitted_curves(df: DataFrame, scope: str, start: str, end: str, years: float,
     kept = rows.join(n, "scope").where(F.pmod(F.xxhash64("s", "e"), F.lit(1 << 20)) < F.ceil(F.lit(most * (1 << 20)) / F.col("_n"))).drop("_n")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = None if pdf.top.isna().all() else float(pdf.top.iloc[0])
+        a = None if pdf.top.isna().all() else pdf.top.iloc[0] if pdf.top.nunique() == 1 else pdf.top.to_numpy(float)
         f = fit_curve(pdf.s.to_numpy(float), pdf.e.to_numpy(float), years, a)
         return pd.DataFrame([{"scope": key[0], **{k: f[k] for k in ("a", "k", "c", "loss")}, "n": f["n"]}])
 
     return kept.groupBy("scope").applyInPandas(one, "scope string, a double, k double, c double, loss double, n long")
 
 
+def fold_curves(df: DataFrame, fold: str, folds: int, kind: str, group: str, start: str, end: str, years: float, literature: Mapping[str, float], least: int) -> DataFrame:
+    """Rows with ``predicted``: the curve of their scope (kind, or broad group where the kind is small or pooled) fitted in all other folds.
+
+    One fit per (fold, scope) on the executors; a kind's ceiling is its published one, or the greatest of them for kinds without.
+    """
+    from understory.functions.maths import chapman_richards
+
+    top = F.lit(float(max(literature.values())))
+    for k, v in literature.items():
+        top = F.when(F.col(kind) == k, F.lit(float(v))).otherwise(top)
+    rows = df.withColumn("_top", top)
+    train = rows.withColumn("_f", F.explode(F.array(*[F.lit(k) for k in range(folds)]))).where(F.col("_f") != F.col(fold))
+    sizes = train.groupBy("_f", kind).agg(F.count("*").alias("_n"))
+    own = (F.coalesce("_n", F.lit(0)) >= least) & ~F.col(kind).startswith("group:")
+    scope = F.concat_ws("|", "_f", F.when(own, F.concat(F.lit("type:"), kind)).otherwise(F.concat(F.lit("group:"), group)))
+    # a group's fit takes all its kinds, so rows of large kinds count in both scopes
+    by_kind = train.select(F.concat_ws("|", "_f", F.concat(F.lit("type:"), kind)).alias("_scope"), start, end, "_top")
+    by_group = train.select(F.concat_ws("|", "_f", F.concat(F.lit("group:"), group)).alias("_scope"), start, end, "_top")
+    wanted = rows.withColumn("_f", F.col(fold)).join(sizes, ["_f", kind], "left").withColumn("_scope", scope).drop("_n", "_f")
+    used = wanted.select("_scope").distinct()
+    fits = fitted_curves(by_kind.union(by_group).join(used, "_scope", "left_semi"), "_scope", start, end, years, "_top").select(F.col("scope").alias("_scope"), F.col("k").alias("_k"), F.col("c").alias("_c"))
+    grown = chapman_richards(F.col(start), F.lit(float(years)), F.col("_top"), F.col("_k"), F.col("_c"))
+    return wanted.join(fits, "_scope").withColumn("predicted", grown).drop("_scope", "_k", "_c", "_top")
+
+
 # ---------------------------------------------------------------- residual models
 
 

@@ -149,11 +149,11 @@ def block_size(reach: float, candidates: Sequence[float], least: float) -> float
 
 
 def noise_table(rungs: DataFrame, base: float, min_cells: int = 0) -> DataFrame:
-    """Per scale (rows: scale, delta): n, mean, NMAD, sd, detection limit, admission, and the decay of noise over admitted scales on every row."""
+    """Per scale (rows: scale, delta): n, mean, NMAD, sd, detection limit, admission, and on every row the decay of noise with the cells of a block, over admitted scales: base_sigma * cells ^ -decay."""
     mid = rungs.groupBy("scale").agg(F.percentile("delta", 0.5).alias("_m"))
     got = rungs.join(mid, "scale").groupBy("scale").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"), (1.4826 * F.percentile(F.abs(F.col("delta") - F.col("_m")), 0.5)).alias("nmad"), F.stddev_samp("delta").alias("sd"))
     got = got.withColumns({"lod95": 1.96 * F.col("nmad"), "admitted": (F.col("n") >= max(2, min_cells)) & (F.col("nmad") > 0)})
-    x, y = F.when(F.col("admitted"), F.log(F.col("scale") / base)), F.when(F.col("admitted"), F.log("nmad"))
+    x, y = F.when(F.col("admitted"), 2 * F.log(F.col("scale") / base)), F.when(F.col("admitted"), F.log("nmad"))
     fit = got.agg((-F.regr_slope(y, x)).alias("decay"), F.exp(F.regr_intercept(y, x)).alias("base_sigma"), F.regr_r2(y, x).alias("decay_r2"))
     return got.join(F.broadcast(fit), how="cross")  # one row
 
@@ -171,3 +171,35 @@ def gate(rows: Sequence[dict], limits: dict[str, float]) -> dict[str, bool]:
         "cells": len(ok) >= limits["scales"],
         "fit": bool(ok) and ok[0]["decay_r2"] is not None and ok[0]["decay_r2"] >= limits["r2"],
     }
+
+
+def reference_spread(rows: Sequence[dict], scale: float, base: float) -> tuple[float, str]:
+    """Noise at a scale: measured where that scale is admitted, else from the decay over three admitted scales at least."""
+    ok = [r for r in rows if r["admitted"]]
+    for r in ok:
+        if r["scale"] == scale:
+            return float(r["nmad"]), "measured"
+    if len(ok) < 3 or ok[0]["decay"] is None or ok[0]["base_sigma"] is None:
+        return math.inf, "unavailable"
+    return float(ok[0]["base_sigma"] * ((scale / base) ** 2) ** -ok[0]["decay"]), "extrapolated"
+
+
+def mean_importance(folds: Sequence[dict[str, float]]) -> dict[str, float]:
+    """Mean over folds; a feature that a fold lacks counts as zero there."""
+    names = sorted({k for f in folds for k in f})
+    return {k: sum(f.get(k, 0.0) for f in folds) / len(folds) for k in names}
+
+
+def check_splits(study_start: str, study_end: str, bounds: Sequence[str]) -> None:
+    """Dates of train end, validation start and end, test start and end must rise strictly within the study."""
+    import datetime as dt
+
+    order = [dt.date.fromisoformat(d) for d in (study_start, *bounds)]
+    if any(a >= b for a, b in zip(order, order[1:], strict=False)) or order[-1] > dt.date.fromisoformat(study_end):
+        raise ValueError("splits must rise strictly within the study's dates")
+
+
+def check_split(dates: DataFrame, train: Column, test: Column, date: str) -> DataFrame:
+    """One row: last training date, first test date, and whether the first lies before the second."""
+    got = dates.agg(F.max(F.when(train, F.col(date))).alias("train_last"), F.min(F.when(test, F.col(date))).alias("test_first"))
+    return got.withColumn("ok", F.coalesce(F.col("train_last") < F.col("test_first"), F.lit(False)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from understory.functions import maths, text
 from understory.operators import aggregates, filters, joins, models, raster, sampling, sets, stats, windows
+from understory.plans import jobs
 from understory.plans.fixtures import oracle, view
 from understory.sources import catalogues, files
 from understory.streaming import climate
@@ -715,3 +716,32 @@ def stream_windowed(spark, d):
     climate.run(climate.windowed(climate.events(spark, f"{d}/events.parquet"), ("event_type",), width="7 days"), out, mark).awaitTermination()
     got = rounded(spark.read.schema("from_time timestamp, event_type string, n long, total double, mean double").parquet(out))
     return got.select(F.date_format("from_time", "yyyy-MM-dd").alias("from_day"), "event_type", "n", "total", "mean")
+
+
+@query("""SELECT p_partkey, CASE WHEN f IN ('conifer forest', 'hardwood forest') THEN f WHEN f IN ('shrub', 'riparian shrub', 'non-native shrub') THEN 'shrub' WHEN f IN ('herbaceous', 'herbaceous wetland') THEN 'grass'
+    WHEN f IN ('mixed conifer-hardwood forest', 'non-native forest') AND regexp_matches(n, '^(pseudotsuga|sequoia|pinus|hesperocyparis)') THEN 'conifer forest' WHEN f IN ('mixed conifer-hardwood forest', 'non-native forest') AND regexp_matches(n, '^(quercus|eucalyptus)') THEN 'hardwood forest'
+    WHEN f = 'riparian forest' AND n LIKE 'populus%' THEN 'hardwood forest' ELSE 'other' END AS grp FROM (SELECT p_partkey, ['conifer forest', 'riparian shrub', 'herbaceous', 'mixed conifer-hardwood forest', 'riparian forest', 'non-native forest', NULL][CAST(p_partkey % 7 AS INT) + 1] AS f, ['pinus x', 'quercus y', 'populus z', 'other'][CAST(p_partkey % 4 AS INT) + 1] AS n FROM part)""")
+def str_broad_group(spark, d):
+    form = F.get(F.array(*[F.lit(v) for v in ("Conifer Forest", "riparian shrub", "herbaceous", "mixed conifer-hardwood forest", "riparian forest", "non-native forest", None)]), (F.col("p_partkey") % 7).cast("int"))
+    name = F.get(F.array(*[F.lit(v) for v in ("Pinus x", "quercus y", "Populus z", "other")]), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, d, "part").select("p_partkey", text.broad_group(name, form).alias("grp"))
+
+
+USABLE = '(start + "end") / 2 >= {c} AND abs("end" - start) <= {l}'
+
+
+@query('SELECT round(count("end") * 1e-4, 6) AS valid_km2, round(count(*) FILTER (("end" + start) / 2 >= 20) * 1e-4, 6) AS canopy_km2, round(count(*) FILTER ("end" - start < -2) * 1e-4, 6) AS loss_km2, 0e0 AS burned_km2, round(count(*) FILTER (' + USABLE.format(c=20, l=2) + ') * 1e-4, 6) AS usable_km2, '
+    + ", ".join(f"round(quantile_cont(\"end\" - start, {p}) FILTER ({USABLE.format(c=20, l=2)}), 6) AS {n}" for p, n in ((0.5, "median"), (0.1, "p10"), (0.9, "p90"))) + ", count(*) FILTER (" + USABLE.format(c=20, l=2) + ") * 1e-4 >= 1e-1 AS go FROM raster", "raster")
+def job_pair_summary(spark, d):
+    return rounded(jobs.pair_summary(view(spark, d, "raster"), {"bare_max": 5, "canopy_min": 20, "limit": 2}, 1e-4, 0.1), 6)
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS rule, {v}e0 AS value, round(count(*) FILTER (" + USABLE.format(c=v if k == "canopy_min" else 20, l=v if k == "limit" else 2) + f") * 1e-4, 6) AS usable_km2, count(*) FILTER (" + USABLE.format(c=v if k == "canopy_min" else 20, l=v if k == "limit" else 2) + ") * 1e-4 >= 1e-1 AS go FROM raster" for k, v in (("canopy_min", 10), ("canopy_min", 30), ("limit", 1), ("limit", 3))), "raster")
+def job_sensitivity(spark, d):
+    return rounded(jobs.sensitivity(view(spark, d, "raster"), {"bare_max": 5, "canopy_min": 20, "limit": 2}, {"canopy_min": (10, 30), "limit": (1, 3)}, 1e-4, 0.1), 6)
+
+
+@query()
+def ml_fold_curves(spark, d):
+    c = growth(spark, d).where("s > 0").select("id", "fold", F.col("kind").alias("type"), "grp", "s", maths.chapman_richards(F.col("s"), F.lit(9.0), F.lit(120.0), F.lit(0.03), F.lit(1.8)).alias("e"))
+    return models.fold_curves(c, "fold", 5, "type", "grp", "s", "e", 9.0, {"BUILDING": 120.0, "FURNITURE": 120.0}, 50).select("id", F.round("predicted", 2).alias("predicted"))

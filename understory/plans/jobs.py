@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from understory.functions import maths
-from understory.operators import aggregates, models, raster, sampling, stats, windows
+from understory.operators import aggregates, filters, models, raster, sampling, stats, windows
 
 # ---------------------------------------------------------------- settings and records
 
@@ -138,6 +138,29 @@ def residual_gate(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     return {"mae_model": float(sums.a.sum() / sums.n.sum()), "mae_prior": float(sums.b.sum() / sums.n.sum()), **got, "decision": "PASS" if got["ci_high"] < 0 else "FAIL"}
 
 
+def pair_summary(cells: DataFrame, rules: Mapping[str, float], cell_km2: float, least_km2: float, burned: str | None = None) -> DataFrame:
+    """Areas of canopy, loss and undisturbed canopy between two epochs (start, end), with the change on it and whether that is enough to use."""
+    f = filters.epoch_masks(F.col("start"), F.col("end"), rules["bare_max"], rules["canopy_min"], rules["limit"])
+    burnt = filters.sure(F.col(burned)) if burned else F.lit(False)
+    usable = f["canopy"] & f["stable"] & ~burnt
+    change = F.when(usable, F.col("end") - F.col("start"))
+    area = lambda m: F.count_if(m) * cell_km2
+    got = cells.agg(area(f["valid"]).alias("valid_km2"), area(f["canopy"]).alias("canopy_km2"), area(f["loss"]).alias("loss_km2"), area(burnt & f["valid"]).alias("burned_km2"), area(usable).alias("usable_km2"), F.percentile(change, 0.5).alias("median"), F.percentile(change, 0.1).alias("p10"), F.percentile(change, 0.9).alias("p90"))
+    return got.withColumn("go", F.col("usable_km2") >= least_km2)
+
+
+def sensitivity(cells: DataFrame, rules: Mapping[str, float], moved: Mapping[str, Sequence[float]], cell_km2: float, least_km2: float) -> DataFrame:
+    """Usable area with one rule at a time at other values: all settings in one pass over the cells."""
+    settings = [(k, float(v), {**rules, k: float(v)}) for k, values in moved.items() for v in values]
+    aggs = []
+    for n, (_, _, r) in enumerate(settings):
+        f = filters.epoch_masks(F.col("start"), F.col("end"), r["bare_max"], r["canopy_min"], r["limit"])
+        aggs.append((F.count_if(f["canopy"] & f["stable"]) * cell_km2).alias(f"u{n}"))
+    wide = cells.agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(v).alias("value"), F.col(f"u{n}").alias("usable_km2")) for n, (k, v, _) in enumerate(settings)]))
+    return wide.select(rows.alias("r")).select("r.*").withColumn("go", F.col("usable_km2") >= least_km2)
+
+
 def near_line_check(df: DataFrame, edges: Sequence[float], near_m: float, control_m: float, flag: str = "flag", distance: str = "distance") -> dict:
     """Rate of flags near lines against a matched control, with its interval over tiles, and the rate by distance."""
     key = F.concat_ws("|", F.col("tile"), F.floor(F.col("canopy_share") / 0.1))

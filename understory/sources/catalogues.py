@@ -108,6 +108,47 @@ def scenes(pages: DataFrame, assets: Sequence[str], max_cloud: float, tile: str,
     return last.select("id", "datetime", "cloud", checked.alias("assets"))
 
 
+def datasets(documents: DataFrame, column: str = "json") -> DataFrame:
+    """(identifier, name, start, end, x0, y0, x1, y1) of a dataset catalogue whose entries may be wrapped once more; a box that isn't four numbers is null."""
+    v = F.try_parse_json(F.col(column))
+    entries = documents.select(F.explode(F.try_variant_get(v, "$.Datasets", "array<variant>")).alias("e"))
+    d = entries.select(F.coalesce(F.try_variant_get("e", "$.Dataset", "variant"), F.col("e")).alias("d"))
+    get = lambda path: F.try_variant_get("d", path, "string")
+    when = F.split(F.coalesce(get("$.temporalCoverage"), F.lit("")), "/")
+    box = F.transform(F.split(F.trim(get("$.spatialCoverage.geo.box")), r"\s+"), lambda x: x.try_cast("double"))
+    ok = (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull())
+    # the corners come as latitude, longitude
+    sides = {"x0": F.least(box[1], box[3]), "y0": F.least(box[0], box[2]), "x1": F.greatest(box[1], box[3]), "y1": F.greatest(box[0], box[2])}
+    return d.select(F.coalesce(get("$.identifier.value"), get("$.identifier")).alias("identifier"), get("$.name").alias("name"), F.trim(when[0]).alias("start"), F.trim(F.element_at(when, -1)).alias("end"), *[F.when(ok, c).alias(k) for k, c in sides.items()])
+
+
+def perimeters(documents: DataFrame, column: str = "json") -> DataFrame:
+    """(name, year, acres, rings) of fire perimeters; unknown acres are zero. Rings are arrays of positions, of all parts."""
+    f = documents.select(F.explode(F.from_json(column, "features array<struct<properties:struct<FIRE_NAME:string,YEAR_:string,GIS_ACRES:double>,geometry:struct<type:string,coordinates:string>>>")["features"]).alias("f"))
+    p, g = F.col("f.properties"), F.col("f.geometry")
+    one = F.when(g["type"] == "Polygon", F.from_json(g["coordinates"], "array<array<array<double>>>"))
+    many = F.when(g["type"] == "MultiPolygon", F.flatten(F.from_json(g["coordinates"], "array<array<array<array<double>>>>")))
+    return f.select(F.trim(F.coalesce(p["FIRE_NAME"], F.lit(""))).alias("name"), p["YEAR_"].try_cast("int").alias("year"), F.coalesce(p["GIS_ACRES"], F.lit(0.0)).alias("acres"), F.coalesce(one, many).alias("rings"))
+
+
+def identified_types(documents: DataFrame, column: str = "json") -> DataFrame:
+    """(code, name, physiognomy, habit) from identify responses: the first result; -1 and ``Unknown`` where there is none."""
+    from understory.functions.text import growth_habit
+
+    v = F.try_parse_json(F.col(column))
+    get = lambda *names: F.coalesce(*[F.try_variant_get(v, f"$.results[0].attributes.{n}", "string") for n in names])
+    name = F.coalesce(get("EVT_Name", "EVT_NAME"), F.lit("Unknown"))
+    return documents.select(F.coalesce(get("EVT_Code", "Value").try_cast("int"), F.lit(-1)).alias("code"), name.alias("name"), F.coalesce(get("EVT_PHYS", "EVT_Phys"), F.lit("Unknown")).alias("physiognomy"), growth_habit(name).alias("habit"))
+
+
+def point_metadata(documents: DataFrame, column: str = "json") -> DataFrame:
+    """(points, bounds, conforming, epsg, span) of octree metadata; a document without points, bounds or reference system is an error."""
+    m = F.from_json(column, "points bigint, bounds array<double>, boundsConforming array<double>, srs struct<horizontal:string>, span int")
+    d = documents.select(m.alias("m")).select("m.*")
+    whole = F.col("points").isNotNull() & F.col("bounds").isNotNull() & F.col("srs").isNotNull()
+    return d.select(F.when(whole, F.col("points")).otherwise(F.raise_error(F.lit("metadata lacks points, bounds or srs"))).alias("points"), "bounds", F.coalesce("boundsConforming", "bounds").alias("conforming"), F.coalesce("srs.horizontal", F.lit("")).alias("epsg"), F.coalesce("span", F.lit(0)).alias("span"))
+
+
 def search_url(root: str, collection: str, start: str, end: str, box: tuple[float, float, float, float], max_cloud: float, tile: str, limit: int = 100) -> str:
     """Catalogue search with the date, box and cloud predicates in the request."""
     if end < start:
