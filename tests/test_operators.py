@@ -307,3 +307,22 @@ def test_splits_and_spread():
     value, how = stats.reference_spread(rows, 80, 10)
     assert how == "extrapolated" and value == pytest.approx(0.2 * 8**-0.2)
     assert stats.mean_importance([{"a": 1.0}, {"a": 0.5, "b": 0.5}]) == {"a": 0.75, "b": 0.25}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 20])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_do_not_depend_on_ranges(spark, parts, descending):
+    r = np.random.default_rng(6)
+    rows = [(k, None if k % 17 == 0 else float(r.integers(0, 12)), float(r.random())) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, key double, v double")
+    got = {x.id: (x.s, x.s_all) for x in windows.running(df, "key", ["id"], {"s": F.col("v")}, descending, parts).collect()}
+    order = sorted(rows, key=lambda x: (x[1] is None, (-1 if descending else 1) * (x[1] or 0), x[0]))
+    total = 0.0
+    for k, _, v in order:
+        total += v
+        assert got[k][0] == pytest.approx(total) and got[k][1] == pytest.approx(sum(x[2] for x in rows))
+
+
+def test_global_ranks(spark):
+    df = spark.createDataFrame([(k, float(v) if v is not None else None) for k, v in enumerate([10, 20, 20, 40, None, 20])], "id int, v double")
+    assert {r.id: r.rank_avg for r in windows.ranked(df, "v").collect()} == {0: 1.0, 1: 3.0, 2: 3.0, 5: 3.0, 3: 5.0, 4: None}

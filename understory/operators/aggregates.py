@@ -99,10 +99,10 @@ def height_summary(df: DataFrame, height: str, keys: Sequence[str] = ()) -> Data
 
 def normalised_mad(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """1.4826 times the median distance from the median, of each group."""
-    keys = list(keys)
-    mid = df.groupBy(*keys).agg(median(F.col(value)).alias("_m"))
-    both = df.join(mid, keys) if keys else df.join(F.broadcast(mid))  # one row
-    return both.groupBy(*keys).agg((1.4826 * median(F.abs(F.col(value) - F.col("_m")))).alias("nmad"), F.count(value).alias("n"))
+    keys, own = list(keys), list(keys) or ["_all"]
+    df = df if keys else df.withColumn("_all", F.lit(0))
+    mid = df.groupBy(*own).agg(median(F.col(value)).alias("_m"))
+    return df.join(mid, own).groupBy(*keys).agg((1.4826 * median(F.abs(F.col(value) - F.col("_m")))).alias("nmad"), F.count(value).alias("n"))
 
 
 def disturbance(df: DataFrame, change: str, limit: float, keys: Sequence[str] = ()) -> DataFrame:

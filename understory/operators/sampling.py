@@ -47,12 +47,14 @@ def stratified_sample(df: DataFrame, stratum: str, ident: str, count: int, seed:
 
 
 def spread(df: DataFrame, order: Sequence[str], count: int) -> DataFrame:
-    """At most ``count`` rows at even intervals of the order."""
+    """At most ``count`` rows at even intervals of the order, whose first column is numeric."""
+    from understory.operators.windows import running
+
     total = df.count()
     if total <= count:
         return df
+    at = running(df, order[0], list(order[1:]), {"_at": F.lit(1)}).drop("_at_all").withColumn("_at", F.col("_at") - 1)
     i = F.ceil(F.col("_at") * F.lit(count) / F.lit(total))  # the only i whose floor(i * total / count) can be this row
-    at = df.withColumn("_at", F.row_number().over(W.orderBy(*order)) - 1)
     return at.where((F.floor(i * F.lit(total) / F.lit(count)) == F.col("_at")) & (i < count)).drop("_at")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -154,8 +154,8 @@ def noise_table(rungs: DataFrame, base: float, min_cells: int = 0) -> DataFrame:
     got = rungs.join(mid, "scale").groupBy("scale").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"), (1.4826 * F.percentile(F.abs(F.col("delta") - F.col("_m")), 0.5)).alias("nmad"), F.stddev_samp("delta").alias("sd"))
     got = got.withColumns({"lod95": 1.96 * F.col("nmad"), "admitted": (F.col("n") >= max(2, min_cells)) & (F.col("nmad") > 0)})
     x, y = F.when(F.col("admitted"), 2 * F.log(F.col("scale") / base)), F.when(F.col("admitted"), F.log("nmad"))
-    fit = got.agg((-F.regr_slope(y, x)).alias("decay"), F.exp(F.regr_intercept(y, x)).alias("base_sigma"), F.regr_r2(y, x).alias("decay_r2"))
-    return got.join(F.broadcast(fit), how="cross")  # one row
+    w = Window.partitionBy(F.lit(0))  # a row a scale
+    return got.withColumns({"decay": -F.regr_slope(y, x).over(w), "base_sigma": F.exp(F.regr_intercept(y, x).over(w)), "decay_r2": F.regr_r2(y, x).over(w)})
 
 
 def gate(rows: Sequence[dict], limits: dict[str, float]) -> dict[str, bool]:

@@ -9,6 +9,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# ---------------------------------------------------------------- order over a whole table
+
+
+#: The range of rows whose key is null.
+NULLS = -1
+
+
+def in_ranges(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Adds ``_part``: ascending ranges of a numeric key of about equal counts; null keys have a range of their own. Bounds are approximate quantiles, a number per range."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.005))) if parts > 1 else []
+    if not bounds:
+        return df.withColumn("_part", F.when(F.col(key).isNull(), NULLS).otherwise(0))
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key)))
+    return df.withColumn("_part", F.when(F.col(key).isNull(), NULLS).otherwise(place))
+
+
+def running(df: DataFrame, key: str, ties: Sequence[str], values: dict[str, Column], descending: bool = False, parts: int | None = None) -> DataFrame:
+    """Adds running sums ``name`` and whole sums ``name_all`` in the order of (key, ties) over the whole table, without gathering it in one task.
+
+    Each range of the key sums its own rows; the sums of the ranges before come from one row a range.
+    """
+    dealt = in_ranges(df.withColumns({f"_v_{k}": v for k, v in values.items()}), key, parts)
+    order = [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last(), *ties]
+    own = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sums = dealt.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values])
+    last = F.when(F.col("_part") == NULLS, 1).otherwise(0)
+    before = W.orderBy(last, F.col("_part").desc() if descending else F.col("_part")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(F.lit(0))
+    offsets = sums.select("_part", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values], *[F.sum(f"_s_{k}").over(whole).alias(f"{k}_all") for k in values])
+    out = dealt.join(offsets, "_part").withColumns({k: F.col(f"_o_{k}") + F.sum(f"_v_{k}").over(own) for k in values})
+    return out.drop("_part", *[f"_v_{k}" for k in values], *[f"_o_{k}" for k in values])
+
+
+def ranked(df: DataFrame, value: str, name: str = "rank_avg") -> DataFrame:
+    """Adds the 1-based rank over the whole table, ties averaged: values are counted first, so copies of a value move once."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    upto = running(counts, value, [], {"_upto": F.col("_n")})
+    return df.join(upto.select(F.col(value).alias("_value"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), F.col(value) == F.col("_value"), "left").drop("_value")
+
+
+# ---------------------------------------------------------------- ranks and gains
+
+
 def average_rank(value: Column, keys: Sequence[str] = ()) -> Column:
     """1-based rank, ties averaged."""
     w = W.partitionBy(*keys)
@@ -39,10 +83,13 @@ def unique_labels(labels: DataFrame, min_valid: float, ties: Sequence[str] = (),
 
 
 def gain_curve(df: DataFrame, score: str, label: str, weight: str, ident: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Budget share and recall after each row in order of score, then id. Scored groups must fit a task; give keys to split them."""
+    """Budget share and recall after each row in order of score, then id: over the whole table, or within each group of ``keys``."""
+    gain = F.col(label) * F.col(weight)
+    if not keys:
+        got = running(df, score, [ident], {"_w": F.col(weight).cast("double"), "_g": gain.cast("double")}, descending=True)
+        return got.withColumns({"budget": F.col("_w") / F.col("_w_all"), "recall": F.col("_g") / F.col("_g_all")}).drop("_w", "_g", "_w_all", "_g_all")
     w = W.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(ident)).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*keys)
-    gain = F.col(label) * F.col(weight)
     return df.withColumns({"budget": F.sum(weight).over(w) / F.sum(weight).over(whole), "recall": F.sum(gain).over(w) / F.sum(gain).over(whole)})
 
 
@@ -55,17 +102,20 @@ def at_budget(curve: DataFrame, share: float, label: str, weight: str, keys: Seq
 
 def gain_area(curve: DataFrame, most: float = 0.2, points: int = 512) -> DataFrame:
     """Area under the gain curve up to a budget share, over an even grid with linear interpolation from (0, 0), divided by the share."""
-    grid = curve.sparkSession.range(points).select((F.col("id") * most / (points - 1)).alias("g"))
-    w = W.orderBy("x")
-    known = curve.select(F.col("budget").alias("x"), F.col("recall").alias("y")).groupBy("x").agg(F.max("y").alias("y"))
-    both = known.select("x", "y", F.lit(0).alias("q")).union(grid.select("g", F.lit(None).cast("double"), F.lit(1)))
-    before, after = W.orderBy("x", "q").rowsBetween(W.unboundedPreceding, 0), W.orderBy("x", "q").rowsBetween(0, W.unboundedFollowing)
-    point = F.when(F.col("q") == 0, F.struct("x", "y"))
-    filled = both.withColumns({"lo": F.last(point, True).over(before), "hi": F.first(point, True).over(after)}).where("q = 1")
-    lx, ly = F.coalesce(F.col("lo.x"), F.lit(None)), F.col("lo.y")
-    slope = (F.col("hi.y") - ly) / (F.col("hi.x") - lx)
-    y = F.when(F.col("lo").isNull(), 0.0).when(F.col("hi").isNull(), ly).otherwise(F.coalesce(ly + slope * (F.col("x") - lx), ly))
-    steps = filled.select("x", y.alias("y")).withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w)})
+    step = most / (points - 1)
+    # of the curve's points only the last at or before and the first at or after each grid point count
+    down, up = F.ceil(F.col("budget") / step), F.floor(F.col("budget") / step)
+    best = lambda f: f(F.struct(F.col("budget").alias("x"), F.col("recall").alias("y")))
+    last = curve.where(F.col("budget") <= most).groupBy(down.alias("k")).agg(best(F.max).alias("lo"))
+    first = curve.groupBy(F.least(up, F.lit(points)).alias("k")).agg(best(F.min).alias("hi"))
+    grid = curve.sparkSession.range(points).select(F.col("id").alias("k"), (F.col("id") * step).alias("x"))
+    w = W.orderBy("k")
+    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    keyed = last.join(first, "k", "full").join(grid, "k", "full")  # a row a grid point
+    filled = keyed.withColumns({"lo": F.last("lo", True).over(back), "hi": F.first("hi", True).over(ahead)}).where("x is not null")
+    lx, ly, hx, hy = F.col("lo.x"), F.col("lo.y"), F.col("hi.x"), F.col("hi.y")
+    y = F.when(lx.isNull(), 0.0).when(hx.isNull() | (hx <= lx), ly).otherwise(ly + (hy - ly) / F.nullif(hx - lx, F.lit(0.0)) * (F.col("x") - lx))
+    steps = filled.select("k", "x", y.alias("y")).withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w)})
     return steps.agg((F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2) / most).alias("area"))
 
 

@@ -441,7 +441,7 @@ def agg_point_summary(spark, d):
 
 @query("SELECT id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rank_avg FROM scores", "scores")
 def win_average_rank(spark, d):
-    return view(spark, d, "scores").select("id", windows.average_rank(F.col("score")).alias("rank_avg"))
+    return windows.ranked(view(spark, d, "scores"), "score").select("id", "rank_avg")
 
 
 @query("SELECT lang, round(corr(a, b), 6) AS spearman FROM (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS a, rank() OVER (PARTITION BY lang ORDER BY weight) + (count(*) OVER (PARTITION BY lang, weight) - 1) / 2 AS b FROM scores) GROUP BY lang", "scores")

@@ -157,6 +157,10 @@ def search_url(root: str, collection: str, start: str, end: str, box: tuple[floa
     return root + "?" + urlencode(query)
 
 
+#: Cells a side of the lattice in which octree nodes meet boxes.
+LATTICE = 64
+
+
 def octree_nodes(spark: SparkSession, hierarchy: DataFrame, cube: tuple[float, float, float], boxes: DataFrame, depth: int) -> DataFrame:
     """(key, points, d): nodes of an octree (key ``d-x-y-z``, points) whose square meets one of the boxes, down to a depth, reached from the root.
 
@@ -166,12 +170,16 @@ def octree_nodes(spark: SparkSession, hierarchy: DataFrame, cube: tuple[float, f
     n = hierarchy.select("key", "points", *[k[i].cast("long").alias(c) for i, c in enumerate("dxyz")]).where(F.col("d") <= depth)
     size = F.lit(float(cube[2])) / F.pow(F.lit(2.0), F.col("d"))
     n = n.withColumns({"nx0": cube[0] + F.col("x") * size, "ny0": cube[1] + F.col("y") * size}).withColumns({"nx1": F.col("nx0") + size, "ny1": F.col("ny0") + size})
-    lim = boxes.select(F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    met = n.join(lim, F.expr("nx0 < bx1 and bx0 < nx1 and ny0 < by1 and by0 < ny1"), "left_semi").select("key", "points", "d", "x", "y", "z")
+    # nodes and boxes meet in the cells of a fixed lattice over the cube
+    cell = float(cube[2]) / LATTICE
+    at = lambda c, o: F.greatest(F.lit(0), F.least(F.lit(LATTICE - 1), F.floor((c - o) / cell)))
+    spread = lambda df, a: df.withColumn("_i", F.explode(F.sequence(at(F.col(a + "x0"), cube[0]), at(F.col(a + "x1"), cube[0])))).withColumn("_j", F.explode(F.sequence(at(F.col(a + "y0"), cube[1]), at(F.col(a + "y1"), cube[1]))))
+    lim = spread(boxes.select(F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1")), "b")
+    met = spread(n, "n").join(lim, ["_i", "_j"]).where("nx0 < bx1 and bx0 < nx1 and ny0 < by1 and by0 < ny1").select("key", "points", "d", "x", "y", "z").distinct()
     level = met.where("d = 0")
     out = level
     for d in range(1, depth + 1):
-        up = level.select(F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("z").alias("uz"))
-        level = met.where(F.col("d") == d).join(up, F.expr("shiftright(x, 1) = ux and shiftright(y, 1) = uy and shiftright(z, 1) = uz"), "left_semi")
+        up = level.select(*[F.col(c).alias(f"u{c}") for c in "xyz"])
+        level = met.where(F.col("d") == d).join(up, [F.shiftright(c, 1) == F.col(f"u{c}") for c in "xyz"], "left_semi")
         out = out.unionByName(level)
     return out.select("key", "points", "d")
