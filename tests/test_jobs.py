@@ -55,3 +55,12 @@ def test_records(spark):
     assert jobs.interval_text({"difference": -0.1214, "ci_low": -0.145, "ci_high": -0.097}) == "-0.121 [-0.145, -0.097]"
     assert jobs.markdown(spark.createDataFrame([(1, 2.0, None)], "a int, b double, c string")).splitlines()[-1] == "| 1 | 2.000 | - |"
     assert jobs.array_gib((1024, 1024, 1024), 4) == 4.0
+
+
+@pytest.mark.parametrize("dx,dy", [(0.6, -0.4), (-1.2, 0.8)])
+def test_alignment_finds_planted_shift(spark, dx, dy):
+    i, j = np.mgrid[0:48, 0:48]
+    h = lambda r, c: 40 * np.sin(r / 7) + 30 * np.cos(c / 6) + 12 * np.sin((r + c) / 9)
+    cells = spark.createDataFrame(pd.DataFrame({"tile": 0, "row": i.ravel(), "col": j.ravel(), "start": h(i, j).ravel(), "end": (h(i + dy, j - dx) + 1.5).ravel()}))
+    got = jobs.aligned(cells, 1.0, slopes=(5, 88))
+    assert (got["dx"], got["dy"], got["dz"]) == (pytest.approx(dx, abs=0.02), pytest.approx(dy, abs=0.02), pytest.approx(1.5, abs=0.02)) and got["rounds"] < 5

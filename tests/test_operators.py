@@ -326,3 +326,20 @@ def test_running_sums_do_not_depend_on_ranges(spark, parts, descending):
 def test_global_ranks(spark):
     df = spark.createDataFrame([(k, float(v) if v is not None else None) for k, v in enumerate([10, 20, 20, 40, None, 20])], "id int, v double")
     assert {r.id: r.rank_avg for r in windows.ranked(df, "v").collect()} == {0: 1.0, 1: 3.0, 2: 3.0, 5: 3.0, 3: 5.0, 4: None}
+
+
+def test_provenance_is_checked(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,)], "id int")
+    path = files.write(df, f"file://{tmp_path}/t", source="test")
+    assert files.checked(spark, path).count() == 2
+    df.write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="differ"):
+        files.checked(spark, path)
+    assert files.hashes(spark, f"file://{tmp_path}").where("length(sha256) = 64").count() >= 2
+    (tmp_path / "s.toml").write_text("a = 1")
+    assert files.settings(str(tmp_path / "s.toml"), ("a",)) == {"a": 1}
+    with pytest.raises(KeyError):
+        files.settings(str(tmp_path / "s.toml"), ("b",))
+    assert files.confined("/data", "x", "y") == "/data/x/y"
+    with pytest.raises(ValueError):
+        files.confined("/data", "..", "etc")

@@ -90,3 +90,42 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="understory-")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def settings(path: str, required: tuple[str, ...] = ()) -> dict:
+    """A TOML or JSON settings file of the driver, with its required keys."""
+    import pathlib
+    import tomllib
+
+    raw = pathlib.Path(path).read_text()
+    got = json.loads(raw) if path.endswith(".json") else tomllib.loads(raw)
+    if missing := [k for k in required if k not in got]:
+        raise KeyError(f"{path} lacks {', '.join(missing)}")
+    return got
+
+
+def confined(root: str, *parts: str) -> str:
+    """A path under ``root``; parts that lead out of it are an error."""
+    import os
+
+    at = os.path.normpath("/".join([root.rstrip("/"), *parts]))
+    if not at.startswith(root.rstrip("/") + "/"):
+        raise ValueError(f"{'/'.join(parts)} leads out of {root}")
+    return at
+
+
+def hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, sha256) of the files under a root, hashed on the executors."""
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return got.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def checked(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose provenance note exists and states its rows and columns rightly."""
+    note = json.loads(read_text(spark, path.rstrip("/") + ".provenance.json"))
+    if missing := [k for k in ("source", "written_utc", "row_count", "columns") if k not in note]:
+        raise ValueError(f"provenance lacks {', '.join(missing)}")
+    df = spark.read.parquet(path)
+    if dict(df.dtypes) != note["columns"] or df.count() != note["row_count"]:
+        raise ValueError("table and provenance differ")
+    return df
