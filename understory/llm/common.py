@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +60,22 @@ def discard(df: DataFrame) -> None:
 # ---------------------------------------------------------------- Arrow helpers
 
 
+_STATE: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one thing at a time. A worker serves all operators of a job in turn, and what an earlier one kept is given back to the system first."""
+    if key not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+            pa.default_memory_pool().release_unused()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 #: Rows of a batch that are in work at once, so that a worker's memory follows a few texts and not the batch.
 ROWS = 256
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import map_batches
+from understory.llm.common import map_batches, worker_state
 from understory.llm.tokens import path_of
 
 SPACE = "▁"
@@ -161,13 +161,8 @@ class PieceModel:
         return out
 
 
-_KEPT: dict[str, PieceModel] = {}
-
-
 def piece_model(name_or_path: str) -> PieceModel:
-    if name_or_path not in _KEPT:
-        _KEPT[name_or_path] = PieceModel(name_or_path)
-    return _KEPT[name_or_path]
+    return worker_state(("pieces", name_or_path), lambda: PieceModel(name_or_path))
 
 
 def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", ident: str = "doc_id", text: str = "text") -> DataFrame:

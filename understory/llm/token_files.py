@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from understory.llm.common import fresh_path, parts_of, range_dealt
+from understory.llm.common import fresh_path, parts_of, range_dealt, sliced
 from understory.llm.tokens import tokenizer
 
 MAGIC = 0x31465055
 BLOCK = 4096
 PERCENTILE = 98.0
+#: Blocks worked on at once.
+TOGETHER = 64
 #: Ids a file holds before the next begins (a document is never split).
 FILE_IDS = 1 << 20
 
@@ -61,21 +63,36 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTI
     n = len(ids)
     blocks = -(-n // block)
     index, body, at = np.zeros(blocks, np.uint64), [], 0
-    for b in range(blocks):
-        x = ids[b * block : (b + 1) * block].astype(np.uint64)
-        least = x.min()
-        d = x - least
-        k = min(len(d) - 1, int(np.ceil(len(d) * percentile / 100)) - 1)
-        w = int(np.partition(d, k)[k]).bit_length()
-        high = d >> np.uint64(w)
-        odd = np.flatnonzero(high)
-        low = np.zeros(-(-len(d) // 64) * 64, np.uint64)
-        low[: len(d)] = d & np.uint64((1 << w) - 1)
-        words = _pack(low.reshape(-1, 64), w) if w else np.empty(0, np.uint64)
-        raw = b"".join([np.array([least, w, len(odd)], "<u4").tobytes(), words.astype("<u8").tobytes(), odd.astype("<u4").tobytes(), high[odd].astype("<u4").tobytes()])
-        index[b] = at
-        at += len(raw)
-        body.append(raw)
+    for first in range(0, blocks, TOGETHER):
+        some = ids[first * block : (first + TOGETHER) * block]
+        rows = -(-len(some) // block)
+        x = np.full(rows * block, some[-1] if len(some) else 0, np.uint32)
+        x[: len(some)] = some
+        x = x.reshape(rows, block)
+        least = x.min(axis=1)
+        d = x - least[:, None]
+        sizes = np.full(rows, block)
+        sizes[-1] = len(some) - (rows - 1) * block
+        d[-1, sizes[-1] :] = 0  # the last block's unused places
+        k = np.minimum(sizes - 1, np.ceil(sizes * percentile / 100).astype(int) - 1)
+        ordered = np.partition(d[:-1], k[0], axis=1)[:, k[0]] if rows > 1 else np.empty(0, np.uint32)
+        last = np.partition(d[-1, : sizes[-1]], k[-1])[k[-1]]
+        widths = np.array([int(v).bit_length() for v in (*ordered, last)])
+        packed: dict[int, bytes] = {}
+        for w in np.unique(widths):
+            own = np.flatnonzero(widths == w)
+            low = (d[own] & np.uint32((1 << int(w)) - 1)).astype(np.uint64).reshape(-1, 64)
+            words = _pack(low, int(w)).astype("<u8").reshape(len(own), -1) if w else np.empty((len(own), 0), "<u8")
+            for r, b in enumerate(own):
+                packed[b] = words[r, : -(-int(sizes[b]) // 64) * int(w)].tobytes()
+        for b in range(rows):
+            w = int(widths[b])
+            high = d[b].astype(np.uint64) >> np.uint64(w)
+            odd = np.flatnonzero(high)
+            raw = b"".join([np.array([least[b], w, len(odd)], "<u4").tobytes(), packed[b], odd.astype("<u4").tobytes(), high[odd].astype("<u4").tobytes()])
+            index[first + b] = at
+            at += len(raw)
+            body.append(raw)
     return b"".join([np.array([MAGIC, block, n, blocks], "<u4").tobytes(), index.astype("<u8").tobytes(), *body])
 
 
@@ -90,19 +107,30 @@ def decode_ids(payload: bytes, first: int = 0, last: int | None = None) -> np.nd
         return np.empty(0, np.uint32)
     index = np.frombuffer(payload, "<u8", int(blocks), 16)
     body = 16 + 8 * int(blocks)
-    out = []
-    for b in range(first // block, (last - 1) // block + 1):
+    wanted = list(range(first // block, (last - 1) // block + 1))
+    out: dict[int, np.ndarray] = {}
+    by: dict[int, list[int]] = {}
+    heads = {}
+    for b in wanted:
         at = body + int(index[b])
-        least, w, odd = map(int, np.frombuffer(payload, "<u4", 3, at))
-        size = min(block, n - b * block)
-        groups = -(-size // 64)
-        at += 12
-        d = _unpack(np.frombuffer(payload, "<u8", groups * w, at).reshape(groups, w), w).reshape(-1)[:size] if w else np.zeros(size, np.uint64)
-        at += 8 * groups * w
-        if odd:
-            where = np.frombuffer(payload, "<u4", odd, at)
-            d[where] |= np.frombuffer(payload, "<u4", odd, at + 4 * odd).astype(np.uint64) << np.uint64(w)
-        out.append((d + np.uint64(least)).astype(np.uint32))
+        heads[b] = (at + 12, *map(int, np.frombuffer(payload, "<u4", 3, at)))
+        by.setdefault(heads[b][2], []).append(b)
+    for w, own in by.items():  # blocks of one width together
+        for k in range(0, len(own), TOGETHER):
+            some = own[k : k + TOGETHER]
+            groups = [-(-min(block, n - b * block) // 64) for b in some]
+            words = [np.frombuffer(payload, "<u8", g * w, heads[b][0]) for b, g in zip(some, groups, strict=True)]
+            low = _unpack(np.concatenate(words).reshape(-1, w), w).reshape(-1) if w else np.zeros(64 * sum(groups), np.uint64)
+            ends = np.cumsum(groups) * 64
+            for b, g, end in zip(some, groups, ends, strict=True):
+                d = low[end - 64 * g : end][: min(block, n - b * block)]
+                at, least, _, odd = heads[b]
+                at += 8 * g * w
+                if odd:
+                    where = np.frombuffer(payload, "<u4", odd, at)
+                    d[where] |= np.frombuffer(payload, "<u4", odd, at + 4 * odd).astype(np.uint64) << np.uint64(w)
+                out[b] = (d + np.uint64(least)).astype(np.uint32)
+    out = [out[b] for b in wanted]
     whole = np.concatenate(out)
     begin = first // block * block
     return whole[first - begin : last - begin]
@@ -116,10 +144,10 @@ def write_token_files(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json"
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    parts = parts_of(spark)
+    parts = parts_of(spark, 4)  # several ranges a task, so that tasks are even
     kind = dict(docs.dtypes)["doc_id"]
     dealt, edges = range_dealt(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", parts)
-    dealt = dealt.repartition(max(1, len(edges)), "_part").sortWithinPartitions("_part", F.col("doc_id").asc_nulls_last(), "text")
+    dealt = dealt.repartition(parts_of(spark), "_part").sortWithinPartitions("_part", F.col("doc_id").asc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer(tokenizer_file), np.array([end_id], "<u4").tobytes()
@@ -132,7 +160,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json"
             held, docs_, sizes, before, total = [], [], [], before + total, 0
             return out
 
-        for b in batches:
+        for b in (some for batch in batches for some in sliced(batch)):
             id_type = b.schema.field(1).type
             ids = tok.encode_many(b.column(2).to_pylist())
             for p, doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ids, strict=True):

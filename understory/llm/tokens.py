@@ -11,15 +11,16 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import map_batches
+from understory.llm.common import map_batches, worker_state
 
-#: Entries that a worker's cache holds before it starts anew (about 60 MB).
-CACHE_ENTRIES = 300_000
+#: Entries that a worker's cache holds, and as many of those before (about 75 MB in all).
+CACHE_ENTRIES = 150_000
 
 #: Control, white space and format characters other than space, tab, line feed and carriage return; marks; superscript digits.
 UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\xb2\xb3\xb9\xbc-\xbe\u0300-\u036f\u0600-\u0605\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
@@ -63,21 +64,43 @@ class WordTokenizer:
         elif normal is not None and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed":
             self.split = str.split  # white space is dropped
             self.word = str.lower
+        if self.split:
+            self.merged = self._merger(spec["model"])
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the entries before, from which what is asked for again comes back
+        self.marks: dict[str, bytes] = {"": b""}
         self.entries = entries
 
+    def _merger(self, model: dict) -> Callable[[bytes], list[int]]:
+        """Byte-pair merging of one pre-token by the file's own vocabulary, in which an id is a merge's rank. The byte 0xFF, which no text holds, stands for the end of a word."""
+        from tiktoken import Encoding
+
+        back, end = {v: k for k, v in BYTE_LETTERS.items()}, model.get("end_of_word_suffix") or ""
+        ranks = {}
+        for token, k in model["vocab"].items():
+            body, tail = (token[: -len(end)], b"\xff") if end and token.endswith(end) else (token, b"")
+            if token not in self.special:
+                ranks[bytes(back[c] for c in body) + tail] = k
+        one, tail = Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, b"\xff" if end else b""
+        return lambda word: one(word.encode() + tail)
+
     def _add(self, units: set[str]) -> None:
-        """Encode units: plain words and the marks after them by the library's model itself, the rest by its whole pipeline."""
-        rest, one, word, cache = [], self.library.model.tokenize, self.word, self.cache
-        marks: dict[str, bytes] = {"": b""}
+        """Encode units: plain words, and the marks after them, by merging; the rest by the library's whole pipeline."""
+        rest, merged, word, cache, marks, known = [], self.merged, self.word, self.cache, self.marks, self.old.get
         for u in units:
+            if ids := known(u):
+                cache[u] = ids
+                continue
             if not (m := PLAIN(u)):
                 rest.append(u)
                 continue
             core, tail = m.groups()
-            if tail not in marks:
-                marks[tail] = array("I", self.library.encode(tail, add_special_tokens=False).ids).tobytes()
-            cache[u] = array("I", [t.id for t in one(word(core).encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes() + marks[tail]
+            ids = tail and cache.get(core) or array("I", merged(word(core))).tobytes()
+            if tail:
+                if tail not in marks:
+                    marks[tail] = array("I", self.library.encode(tail, add_special_tokens=False).ids).tobytes()
+                ids += marks[tail]
+            cache[u] = ids
         if rest:
             for u, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 cache[u] = array("I", e.ids).tobytes()
@@ -86,7 +109,7 @@ class WordTokenizer:
         cache = self.cache
         if missing := set().union(*lists).difference(cache):
             if len(cache) + len(missing) > self.entries:
-                cache.clear()
+                self.old, self.cache, self.marks = cache, (cache := {}), {"": b""}
                 missing = set().union(*lists)
             self._add(missing)
         return [b"".join(map(cache.__getitem__, x)) for x in lists]
@@ -121,14 +144,9 @@ class WordTokenizer:
         return self.encode_many([text])[0]
 
 
-_KEPT: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(name_or_path: str) -> WordTokenizer:
-    """One tokenizer and cache per Python worker, kept over its tasks."""
-    if name_or_path not in _KEPT:
-        _KEPT[name_or_path] = WordTokenizer(name_or_path)
-    return _KEPT[name_or_path]
+    """One tokenizer and cache per Python worker, kept over the tasks of an operator."""
+    return worker_state(("tokenizer", name_or_path), lambda: WordTokenizer(name_or_path))
 
 
 def tokenized(df: DataFrame, name_or_path: str, end_id: int | None, ident: str = "doc_id", text: str = "text") -> DataFrame:
