@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import map_batches
+from understory.llm.common import map_batches, worker_state
 from understory.llm.tokens import path_of
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -32,7 +32,7 @@ SMOOTH = 0.01
 STRAY = 1e-6
 #: Words longer than this are scored in pieces of this many letters.
 WORD = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Log odds are divided by this before they become a score, since words aren't independent.
 TEMPERATURE = 4.0
 UNKNOWN = "und"
@@ -247,9 +247,6 @@ class Scorer:
         return self.model.languages[best], float(p[best])
 
 
-_KEPT: dict[str, Scorer] = {}
-
-
 def predicted(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(ident, lang_pred, score, carried columns) of each whole text, in one narrow pass; only the text is an input.
 
@@ -262,10 +259,7 @@ def predicted(docs: DataFrame, model: Model, ident: str = "doc_id", text: str =
     schema = f"id {kinds[ident]}, lang_pred string, score double" + "".join(f", c{k} {kinds[c]}" for k, c in enumerate(carry))
 
     def start():
-        if mark not in _KEPT:
-            _KEPT.clear()
-            _KEPT[mark] = Scorer(Model(*sent.value))
-        scorer = _KEPT[mark]
+        scorer = worker_state(("scorer", mark), lambda: Scorer(Model(*sent.value)))
 
         def one(b: pa.RecordBatch) -> dict:
             got = scorer.scores(b.column(1).to_pylist())
