@@ -215,7 +215,7 @@ def test_chains_drop_only_far_pairs():
 
 
 def test_one_of_each_keeps_one(spark):
-    rows = [(3, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (7, "quite another text here"), (None, "zz yy xx ww"), (9, None), (8, "")]
+    rows = [(3, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (7, "quite another text here"), (None, "zz yy xx ww"), (None, "zz yy xx ww"), (None, "a b c d e"), (9, None), (8, "")]
     df = spark.createDataFrame([(i, t, "en", "s", 0, 1, 2) for i, t in rows], DOCS)
     got = simhash.one_of_each(df)
     assert got.columns == df.columns

@@ -150,10 +150,23 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near duplicates: of each component the row of the smallest id stays, of equal rows of that id one.
 
-    Rows without an id are kept unless their component has an id.
+    Rows without an id stay, one a fingerprint, where their component has no id. Texts move once, by id.
     """
-    found = near_duplicates(docs, ident, text)
-    stay = found.where(F.col(ident).eqNullSafe(F.col("component_id"))).select(F.col(ident).alias("_kept_id")).distinct()
-    kept = docs.join(stay, docs[ident].eqNullSafe(stay["_kept_id"]), "left_semi")
+    found = stored(near_duplicates(docs, ident, text), "components")
+    stay = found.where(F.col(ident) == F.col("component_id")).select(F.col(ident).alias("_kept_id")).distinct()
+    named = docs.where(F.col(ident).isNotNull())
+    kept = named.join(stay, named[ident] == stay["_kept_id"], "left_semi")
     seen = F.expr(f"row_number() over (partition by `{ident}`, xxhash64(`{text}`) order by `{ident}`)")
-    return kept.withColumn("_kept_seen", seen).where("_kept_seen = 1").drop("_kept_seen")
+    kept = kept.withColumn("_kept_seen", seen).where("_kept_seen = 1").drop("_kept_seen")
+
+    @F.pandas_udf("long")
+    def own(texts):
+        import pandas as pd
+
+        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    loose = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("_kept_id")).distinct()
+    free = docs.where(F.col(ident).isNull()).withColumn("_kept_fp", own(F.col(text).cast("string")))
+    free = free.join(loose, F.col("_kept_fp") == loose["_kept_id"], "left_semi")
+    free = free.withColumn("_kept_seen", F.expr(f"row_number() over (partition by _kept_fp order by `{text}`)")).where("_kept_seen = 1")
+    return kept.unionByName(free.select(docs.columns))
