@@ -42,11 +42,16 @@ def table_keys(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, wid
 
 
 def _units(raw: pa.Array) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, "<f8") for r in raw.to_pylist()])
+    """Unit vectors in double precision from single or double precision bytes (the first byte tells which)."""
+    x = np.stack([np.frombuffer(r, "<f4" if r[0] == 4 else "<f8", offset=1) for r in raw.to_pylist()]).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _hashes() -> tuple:
+    return F.xxhash64("e"), F.hash("e")
+
+
 def _links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows of buckets -> per member of a bucket with a link: its root there, and how many vectors it links with first there."""
@@ -109,25 +114,32 @@ def near_vectors(df: DataFrame, ident: str = "vec_id", vector: str = "embedding"
     # one exact key for equal vectors: minus zero counts as zero
     rows = rows.withColumn("ok", ok).withColumn("e", F.when(F.col("ok"), F.transform(e, lambda x: x + F.lit(0.0))))
     classes = rows.where("ok").groupBy("label", "e").agg(F.min("id").alias("id"), F.count("*").alias("m"))
+    classes = classes.withColumns({f"h{k}": h for k, h in enumerate(_hashes())})
 
     def start():
         def one(b: pa.RecordBatch) -> dict:
             e = b.column(1)
-            raw = [np.asarray(x, "<f8").tobytes() for x in e.to_pylist()]
-            dims = np.array([len(x) // 8 for x in raw])
+            wide = [np.asarray(x, "<f8") for x in e.to_pylist()]
+            with np.errstate(over="ignore"):  # what single precision can't hold stays double
+                narrow = [x.astype("<f4") for x in wide]
+            raw = [b"\4" + y.tobytes() if (x == y).all() else b"\10" + x.tobytes() for x, y in zip(wide, narrow, strict=True)]
+            dims = np.array([len(x) for x in wide])
             keys = np.empty((len(raw), tables), np.int64)
             for d in np.unique(dims):
                 k = np.flatnonzero(dims == d)
                 keys[k] = table_keys(_units(pa.array([raw[i] for i in k], pa.binary())), tables, hashes, width)
-            return {"label": b.column(0), "id": b.column(2), "m": b.column(3), "dim": pa.array(dims, pa.int32()), "v": pa.array(raw, pa.binary()), "keys": pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary()), "hashed": pa.array(list(keys), pa.list_(pa.int64()))}
+            return {"label": b.column(0), "id": b.column(2), "m": b.column(3), "h0": b.column(4), "h1": b.column(5), "dim": pa.array(dims, pa.int32()), "v": pa.array(raw, pa.binary()), "keys": pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary()), "hashed": pa.array(list(keys), pa.list_(pa.int64()))}
 
         return one
 
     lk = dict(rows.dtypes)["label"]
-    hashed = stored(map_batches(classes.select("label", "e", "id", "m"), f"label {lk}, id {kind}, m long, dim int, v binary, keys binary, hashed array<long>", start), "hashed")
+    hashed = stored(map_batches(classes.select("label", "e", "id", "m", "h0", "h1"), f"label {lk}, id {kind}, m long, h0 long, h1 int, dim int, v binary, keys binary, hashed array<long>", start), "hashed")
     spots = hashed.select("id", "label", "dim", F.posexplode("hashed").alias("t", "key"))
     bucket = ["key", "t", "label", "dim"]
-    multi = spots.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1")
+    # near vectors meet in many tables; of buckets with the same members only the first table's is compared
+    member = F.xxhash64("id"), F.xxhash64(F.concat(F.lit("m"), F.col("id").cast("string")))
+    multi = spots.groupBy(bucket).agg(F.count("*").alias("n"), *[F.bit_xor(m).alias(f"x{k}") for k, m in enumerate(member)]).where("n > 1")
+    multi = multi.groupBy("label", "dim", "n", "x0", "x1").agg(F.min(F.struct("t", "key")).alias("b")).select("b.key", "b.t", "label", "dim", "n")
     shared = spots.join(multi, bucket)
     dealt = block_pairs(shared.join(hashed.select("id", "label", "dim", "m", "v", "keys"), ["id", "label", "dim"]), "key", "n", "id")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -137,8 +149,9 @@ def near_vectors(df: DataFrame, ident: str = "vec_id", vector: str = "embedding"
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("id <> root").select(F.col("root").cast("long").alias("u"), F.col("id").cast("long").alias("v")))
     whole = links.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    per_class = classes.join(whole, "id", "left").select("label", "e", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
-    out = rows.join(per_class, ["label", "e"], "left")
+    per_class = hashed.select("id", "label", "h0", "h1", "m").join(whole, "id", "left").select("label", "h0", "h1", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
+    # rows find their class by 96 bits of hashes, so that vectors don't move again
+    out = rows.select("id", "label", "ok", *[h.alias(f"h{k}") for k, h in enumerate(_hashes())]).join(per_class, ["label", "h0", "h1"], "left")
     mine = F.when(F.col("ok"), F.col("root")).otherwise(F.col("id")).cast(kind)
     return out.select(
         F.col("id").alias(ident),
