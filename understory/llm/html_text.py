@@ -262,7 +262,7 @@ def extracted(pages: DataFrame, ident: str = "page_id", url: str = "url", page:
     kind = dict(pages.dtypes)[ident]
     key = F.concat(url_key(F.col(url)), F.lit("\x01"), F.coalesce(F.lpad(F.col(ident).cast("string"), 20, "0"), F.lit("~")))
     rows = pages.select(F.col(ident).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"), key.alias("key"))
-    dealt, edges = range_dealt(rows, "key", parts_of(spark))
+    dealt, edges = range_dealt(rows, "key", parts_of(spark, 4))
     to = F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("copy")))
     if edges:
         number = {p: k for k, (p, *_) in enumerate(edges)}
@@ -274,7 +274,7 @@ def extracted(pages: DataFrame, ident: str = "page_id", url: str = "url", page:
         none = F.array().cast("array<struct<p:int,copy:int>>")
         to = F.concat(to, F.coalesce(down, none), F.coalesce(up, none))
     dealt = dealt.withColumn("_c", F.explode(to)).select(F.col("_c.p").alias("p"), F.col("_c.copy").alias("copy"), "key", "id", "url", "html")
-    dealt = dealt.repartition(max(1, len(edges)), "p").sortWithinPartitions("p", "key", "html")
+    dealt = dealt.repartition(parts_of(spark), "p").sortWithinPartitions("p", "key", "html")
     names = ["id", "url", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
