@@ -298,6 +298,30 @@ def test_fold_curves_recover_growth(spark):
     assert len(got) == 600 and np.abs(got.predicted - got.e).mean() < 0.05
 
 
+def test_fitted_curves_take_every_row_of_a_large_scope(spark):
+    r = np.random.default_rng(6)
+    few = pd.DataFrame({"s": [5.0, 12.0, 20.0, 28.0]})
+    few["e"] = models.curve(few.s.to_numpy(), 9.0, 70.0, 0.04, 2.0)
+    hot = pd.concat([few] * 60_000, ignore_index=True).assign(scope="hot")  # 240,000 rows of four pairs
+    s = r.uniform(2, 30, 1000)
+    small = pd.DataFrame({"s": s, "e": models.curve(s, 9.0, 70.0, 0.06, 1.5) + r.normal(0, 0.2, 1000), "scope": "small"})
+    rows = pd.concat([hot, small], ignore_index=True)
+    for top in (70.0, None):
+        got = {x.scope: x for x in models.fitted_curves(spark.createDataFrame(rows.assign(top=70.0)), "scope", "s", "e", 9.0, "top" if top else None).collect()}
+        assert got["hot"].n == 240_000 and got["small"].n == 1000
+        want = models.fit_curve(small.s.to_numpy(), small.e.to_numpy(), 9.0, top)
+        assert got["small"].loss == pytest.approx(want["loss"], rel=1e-6)
+        assert got["hot"].loss < 1
+        assert np.abs(models.curve(few.s.to_numpy(), 9.0, got["hot"].a, got["hot"].k, got["hot"].c) - few.e).max() < 0.01
+
+
+def test_fold_curves_keep_rows_without_a_fit(spark):
+    pdf = pd.DataFrame({"fold": [0, 0, 1, 1, 1], "kind": ["a"] * 4 + ["b"], "grp": ["g"] * 4 + ["alone"], "s": [5.0, 9.0, 14.0, 20.0, 8.0]})
+    pdf["e"] = models.curve(pdf.s.to_numpy(), 9.0, 70.0, 0.04, 2.0)
+    got = models.fold_curves(spark.createDataFrame(pdf), "fold", 2, "kind", "grp", "s", "e", 9.0, {"a": 70.0}, 1).toPandas()
+    assert len(got) == 5 and got[got.kind == "b"].predicted.isna().all() and got[got.kind == "a"].predicted.notna().all()
+
+
 def test_splits_and_spread():
     stats.check_splits("2013-01-01", "2023-12-31", ("2018-01-01", "2018-02-01", "2020-01-01", "2020-02-01", "2023-01-01"))
     with pytest.raises(ValueError):

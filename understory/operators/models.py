@@ -60,62 +60,111 @@ def curve(start: np.ndarray, years: float, a: float | np.ndarray, k: float, c: f
     return np.where(start >= a, start, out)
 
 
-def fit_curve(start: np.ndarray, end: np.ndarray, years: float, a: float | np.ndarray | None, bounds: tuple[tuple[float, float], tuple[float, float]] = ((1e-4, 0.5), (1.01, 6.0)), scale: float = 1.0, rounds: int = 60) -> dict[str, float]:
-    """Robust (soft L1) least squares for k and c, and the ceiling where it isn't given, within bounds.
+def _fitting(top: float, free: bool, bounds: tuple[tuple[float, float], tuple[float, float]], rounds: int):
+    """Levenberg-Marquardt on logit-transformed parameters with reweighting, from a coarse grid's best point.
 
-    Levenberg-Marquardt on logit-transformed parameters with reweighting, from a coarse grid's best point.
+    A generator that holds no rows: it yields (points, slopes), is sent what ``_sums`` gives there over all rows, and returns (parameters, loss).
     """
-    free = a is None
-    top = float(max(start.max(), end.max()))
     lows = np.array([bounds[0][0], bounds[1][0], top * 1.001][: 2 + free])
     highs = np.array([bounds[0][1], bounds[1][1], max(top * 3, 120.0)][: 2 + free])
     out = lambda t: lows + (highs - lows) / (1 + np.exp(-t))
     inn = lambda p: np.log((p - lows) / (highs - p))
-    value = lambda p: curve(start, years, float(p[2]) if free else a, p[0], p[1])
-    loss = lambda r: float((2 * scale**2 * (np.sqrt(1 + (r / scale) ** 2) - 1)).sum())
-    grid = [np.array([lows[0] + (highs[0] - lows[0]) * i, lows[1] + (highs[1] - lows[1]) * j, *([top * 1.4] if free else [])]) for i in (0.02, 0.06, 0.12, 0.3, 0.7) for j in (0.1, 0.25, 0.5, 0.9)]
-    best = min(grid, key=lambda p: loss(value(p) - end))
-    t, damp = inn(best), 1e-2
-    now = loss(value(out(t)) - end)
+    around = lambda t: np.array([out(t), *[out(t + d * e) for e in np.eye(len(t)) for d in (1e-5, -1e-5)]])
+    parts = lambda v: (v[0], v[1 : 1 + len(lows) ** 2].reshape(len(lows), -1), v[1 + len(lows) ** 2 :])
+    grid = np.array([[lows[0] + (highs[0] - lows[0]) * i, lows[1] + (highs[1] - lows[1]) * j, *([top * 1.4] if free else [])] for i in (0.02, 0.06, 0.12, 0.3, 0.7) for j in (0.1, 0.25, 0.5, 0.9)])
+    t, damp = inn(grid[np.argmin((yield grid, False))]), 1e-2
+    now, h, g = parts((yield around(t), True))
     for _ in range(rounds):
-        r = value(out(t)) - end
-        w = 1 / np.sqrt(1 + (r / scale) ** 2)
-        jac = np.stack([(value(out(t + 1e-5 * e)) - value(out(t - 1e-5 * e))) / 2e-5 for e in np.eye(len(t))], axis=1)
-        h, g = (jac * w[:, None]).T @ jac, jac.T @ (w * r)
-        for _ in range(8):
-            step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-12), g)
-            nxt = np.clip(t - step, -12, 12)
-            got = loss(value(out(nxt)) - end)
-            if got < now:
+        tried = [np.clip(t - np.linalg.solve(h + damp * 4**j * np.diag(np.diag(h) + 1e-12), g), -12, 12) for j in range(8)]
+        got, h, g = parts((yield around(tried[0]), True))
+        j = 0
+        if not got < now:
+            losses = yield np.array([out(x) for x in tried[1:]]), False
+            j = next((j for j, x in enumerate(losses, 1) if x < now), 0)
+            if not j:
                 break
-            damp *= 4
-        else:
-            break
-        gain, t, now, damp = now - got, nxt, got, max(damp / 6, 1e-9)
+            got = losses[j - 1]
+        gain, t, now, damp = now - got, tried[j], got, max(damp * 4**j / 6, 1e-9)
         if gain < 1e-10 * (1 + now):
             break
-    p = out(t)
-    return {"a": float(p[2]) if free else float(np.mean(a)), "k": float(p[0]), "c": float(p[1]), "loss": now, "n": len(start)}
+        if j:
+            _, h, g = parts((yield around(t), True))
+    return out(t), float(now)
+
+
+def _sums(points: np.ndarray, slopes: bool, start: np.ndarray, end: np.ndarray, years: float, a: float | np.ndarray | None, scale: float) -> np.ndarray:
+    """Soft L1 losses at the points; with ``slopes`` the loss at the first, and its weighted normal equations from the pairs of points around it."""
+    value = lambda p: curve(start, years, p[2] if a is None else a, p[0], p[1])
+    loss = lambda r: (2 * scale**2 * (np.sqrt(1 + (r / scale) ** 2) - 1)).sum()
+    if not slopes:
+        return np.array([loss(value(p) - end) for p in points])
+    r = value(points[0]) - end
+    w = 1 / np.sqrt(1 + (r / scale) ** 2)
+    jac = np.stack([(value(u) - value(d)) / 2e-5 for u, d in zip(points[1::2], points[2::2], strict=True)], axis=1)
+    return np.concatenate([[loss(r)], ((jac * w[:, None]).T @ jac).ravel(), jac.T @ (w * r)])
+
 
+BOUNDS = ((1e-4, 0.5), (1.01, 6.0))
 
-def fitted_curves(df: DataFrame, scope: str, start: str, end: str, years: float, ceiling: str | None, most: int = 200_000) -> DataFrame:
-    """(scope, a, k, c, loss, n): one robust fit a scope on the executors. A scope of more rows than ``most`` is fitted on those of the least key hashes."""
-    rows = df.select(F.col(scope).alias("scope"), F.col(start).alias("s"), F.col(end).alias("e"), (F.col(ceiling) if ceiling else F.lit(None)).cast("double").alias("top"))
-    n = rows.groupBy("scope").agg(F.count("*").alias("_n"))
-    kept = rows.join(n, "scope").where(F.pmod(F.xxhash64("s", "e"), F.lit(1 << 20)) < F.ceil(F.lit(most * (1 << 20)) / F.col("_n"))).drop("_n")
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a = None if pdf.top.isna().all() else pdf.top.iloc[0] if pdf.top.nunique() == 1 else pdf.top.to_numpy(float)
-        f = fit_curve(pdf.s.to_numpy(float), pdf.e.to_numpy(float), years, a)
-        return pd.DataFrame([{"scope": key[0], **{k: f[k] for k in ("a", "k", "c", "loss")}, "n": f["n"]}])
+def fit_curve(start: np.ndarray, end: np.ndarray, years: float, a: float | np.ndarray | None, bounds: tuple[tuple[float, float], tuple[float, float]] = BOUNDS, scale: float = 1.0, rounds: int = 60) -> dict[str, float]:
+    """Robust (soft L1) least squares for k and c, and the ceiling where it isn't given, within bounds."""
+    fit = _fitting(float(max(start.max(), end.max())), a is None, bounds, rounds)
+    asked = next(fit)
+    while True:
+        try:
+            asked = fit.send(_sums(*asked, start, end, years, a, scale))
+        except StopIteration as done:
+            p, loss = done.value
+            return {"a": float(p[2]) if a is None else float(np.mean(a)), "k": float(p[0]), "c": float(p[1]), "loss": loss, "n": len(start)}
 
-    return kept.groupBy("scope").applyInPandas(one, "scope string, a double, k double, c double, loss double, n long")
+
+def fitted_curves(df: DataFrame, scope: str, start: str, end: str, years: float, ceiling: str | None, scale: float = 1.0, rounds: int = 60) -> DataFrame:
+    """(scope, a, k, c, loss, n): one robust fit a scope on all its rows, as ``fit_curve``.
+
+    All scopes take their steps together, a pass over the rows each. Rows stay on the executors, in partitions of any mix of
+    scopes; a task returns one row of sums a scope, and the driver holds a few numbers a scope. Where a scope has some ceilings, their mean stands for missing ones.
+    """
+    rows = df.select(F.col(scope).cast("string").alias("scope"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), (F.col(ceiling) if ceiling else F.lit(None)).cast("double").alias("top")).persist()
+    wide = 20
+    try:
+        facts = {r[0]: r for r in rows.groupBy("scope").agg(F.count("*").alias("n"), F.max(F.greatest("s", "e")).cast("double").alias("high"), F.avg("top").alias("top")).collect()}
+        fits = {k: _fitting(np.nan if r.high is None else r.high, r.top is None, BOUNDS, rounds) for k, r in facts.items()}
+        asked, done = {k: next(f) for k, f in fits.items()}, {}
+        while asked:
+
+            def summed(batches, asked=asked, tops={k: facts[k].top for k in asked}):
+                total: dict = {}
+                for pdf in batches:
+                    for key, part in pdf.groupby("scope", dropna=False):
+                        key = None if pd.isna(key) else key
+                        if key in asked:
+                            a = None if tops[key] is None else part.top.fillna(tops[key]).to_numpy(float)
+                            total[key] = total.get(key, 0) + _sums(*asked[key], part.s.to_numpy(float), part.e.to_numpy(float), years, a, scale)
+                if total:
+                    yield pd.DataFrame([[k, *v, *[0.0] * (wide - len(v))] for k, v in total.items()], columns=["scope", *[f"v{i}" for i in range(wide)]])
+
+            sums = rows.mapInPandas(summed, "scope string, " + ", ".join(f"v{i} double" for i in range(wide)))
+            told = {r[0]: np.array(r[1:]) for r in sums.groupBy("scope").agg(*[F.sum(f"v{i}") for i in range(wide)]).collect()}
+            then = {}
+            for k, (points, slopes) in asked.items():
+                d = points.shape[1]
+                try:
+                    then[k] = fits[k].send(told[k][: 1 + d * d + d if slopes else len(points)])
+                except StopIteration as end_:
+                    done[k] = end_.value
+            asked = then
+    finally:
+        rows.unpersist()
+    got = [(k, float(p[2]) if facts[k].top is None else facts[k].top, float(p[0]), float(p[1]), loss, facts[k].n) for k, (p, loss) in done.items()]
+    return df.sparkSession.createDataFrame(got, "scope string, a double, k double, c double, loss double, n long")
 
 
 def fold_curves(df: DataFrame, fold: str, folds: int, kind: str, group: str, start: str, end: str, years: float, literature: Mapping[str, float], least: int) -> DataFrame:
     """Rows with ``predicted``: the curve of their scope (kind, or broad group where the kind is small or pooled) fitted in all other folds.
 
-    One fit per (fold, scope) on the executors; a kind's ceiling is its published one, or the greatest of them for kinds without.
+    One fit per (fold, scope) on all its rows; a kind's ceiling is its published one, or the greatest of them for kinds without.
+    ``predicted`` is null where no other fold has rows of the scope.
     """
     from understory.functions.maths import chapman_richards
 
@@ -134,7 +183,7 @@ def fold_curves(df: DataFrame, fold: str, folds: int, kind: str, group: str, sta
     used = wanted.select("_scope").distinct()
     fits = fitted_curves(by_kind.union(by_group).join(used, "_scope", "left_semi"), "_scope", start, end, years, "_top").select(F.col("scope").alias("_scope"), F.col("k").alias("_k"), F.col("c").alias("_c"))
     grown = chapman_richards(F.col(start), F.lit(float(years)), F.col("_top"), F.col("_k"), F.col("_c"))
-    return wanted.join(fits, "_scope").withColumn("predicted", grown).drop("_scope", "_k", "_c", "_top")
+    return wanted.join(fits, "_scope", "left").withColumn("predicted", grown).drop("_scope", "_k", "_c", "_top")
 
 
 # ---------------------------------------------------------------- residual models
