@@ -194,6 +194,29 @@ def test_custom_statistic_runs_per_draw(spark):
     assert len(got) == 20 and got.replicate.between(0, 60).all()
 
 
+def test_raster_pairs_cross_block_borders(spark):
+    r = np.random.default_rng(3)
+    cells = [(t, a, b, float(r.random())) for t in (1, 2) for a in range(-3, 28) for b in range(-2, 30) if r.random() < 0.6]
+    got = [tuple(x) for x in stats.raster_pairs(spark.createDataFrame(cells, "tile int, row long, col long, value double"), 10, 90, ["tile"]).collect()]
+    far = lambda p, q: ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5 * 10
+    want = [(far(p, q), p[3], q[3]) for k, p in enumerate(cells) for q in cells[k + 1 :] if p[0] == q[0] and far(p, q) < 90]
+    assert sorted((round(h, 6), a, b) for h, a, b in got) == sorted((round(h, 6), a, b) for h, a, b in want)
+
+
+def test_variogram_query_takes_all_pairs(spark):
+    import duckdb
+
+    from understory.plans import catalog
+    from understory.plans.fixtures import VIEWS
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW lineitem AS SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet'")
+    want = con.execute(f"""WITH raster AS ({VIEWS["raster"]}) SELECT CAST(floor(h / 20) AS BIGINT), count(*), round(avg(h), 4), round(avg(pow(a - b, 2)) / 2, 4) FROM (
+        SELECT sqrt(pow(p.col - q.col, 2) + pow(p."row" - q."row", 2)) * 10 AS h, p.start AS a, q.start AS b FROM raster p JOIN raster q ON p.tile = q.tile AND (p."row", p.col) < (q."row", q.col)) WHERE h < 90 GROUP BY 1 ORDER BY 1""").fetchall()
+    got = sorted(tuple(x) for x in catalog.QUERIES["sta_variogram"](spark, "/root/testdata/sf0.001").collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose(np.array(got, float), np.array(want, float), atol=2e-4)
+
+
 def test_variogram_fit_recovers_range():
     h = np.linspace(50, 1000, 20)
     u = np.minimum(h / 400, 1)

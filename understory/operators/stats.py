@@ -105,6 +105,21 @@ def ratio_interval(strata: pd.DataFrame, reps: int = 2000, confidence: float = 0
 # ---------------------------------------------------------------- variogram
 
 
+def raster_pairs(cells: DataFrame, size: float, most: float, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """(distance, a, b): every pair of cells of the same keys nearer than ``most``, once, from (keys, row, col, value) with cells of ``size``.
+
+    Cells meet in blocks as wide as the distance. The later cell of a pair, by (row, col), is also sent to the block
+    above and to those beside both, so that each pair meets in the block of its earlier cell.
+    """
+    reach = math.ceil(most / size)
+    block = lambda c: F.floor(F.col(c) / reach).cast("long")
+    p = cells.select(*keys, block("row").alias("_i"), block("col").alias("_j"), F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("a"))
+    sent = cells.select(*keys, F.explode(F.sequence(block("row") - 1, block("row"))).alias("_i"), block("col").alias("_k"), "row", "col", F.col(value).alias("b"))
+    sent = sent.withColumn("_j", F.explode(F.sequence(F.col("_k") - 1, F.col("_k") + 1))).drop("_k")
+    met = p.join(sent, [*keys, "_i", "_j"]).where("row > _r or row = _r and col > _c")
+    return met.select((F.sqrt(F.pow(F.col("col") - F.col("_c"), 2) + F.pow(F.col("row") - F.col("_r"), 2)) * size).alias("distance"), "a", "b").where(F.col("distance") < most)
+
+
 def variogram(pairs: DataFrame, lag: float, most: float) -> DataFrame:
     """(bin, n, distance, gamma) of pairs (distance, a, b): half the mean squared difference by separation."""
     rows = pairs.where((F.col("distance") > 0) & (F.col("distance") < most))

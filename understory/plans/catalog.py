@@ -617,11 +617,8 @@ def sta_noise_table(spark, d):
 
 @query("SELECT CAST(floor(h / 20) AS BIGINT) AS bin, count(*) AS n, round(avg(h), 4) AS distance, round(avg(pow(a - b, 2)) / 2, 4) AS gamma FROM (SELECT sqrt(pow(p.col - q.col, 2) + pow(p.\"row\" - q.\"row\", 2)) * 10 AS h, p.start AS a, q.start AS b FROM raster p JOIN raster q ON p.tile = q.tile AND p.\"row\" // 8 = q.\"row\" // 8 AND p.col // 8 = q.col // 8 AND (p.\"row\" * 1000 + p.col) < (q.\"row\" * 1000 + q.col)) WHERE h > 0 AND h < 90 GROUP BY 1", "raster")
 def sta_variogram(spark, d):
-    r = view(spark, d, "raster").withColumns({"id": F.col("row") * 1000 + F.col("col"), "bi": F.floor(F.col("row") / 8), "bj": F.floor(F.col("col") / 8)})
-    p, q = r.alias("p"), r.alias("q")
-    both = p.join(q, [F.col(f"p.{k}") == F.col(f"q.{k}") for k in ("tile", "bi", "bj")] + [F.col("p.id") < F.col("q.id")])
-    h = F.sqrt(F.pow(F.col("p.col") - F.col("q.col"), 2) + F.pow(F.col("p.row") - F.col("q.row"), 2)) * 10
-    return rounded(stats.variogram(both.select(h.alias("distance"), F.col("p.start").alias("a"), F.col("q.start").alias("b")), 20, 90))
+    pairs = stats.raster_pairs(view(spark, d, "raster"), 10, 90, ["tile"], "start")
+    return rounded(stats.variogram(pairs, 20, 90))
 
 
 FOLD_SQL = "(SELECT *, CAST(md5_number_lower('') * 0 + block % 5 AS INT) AS fold FROM (SELECT c.*, 1e-2 * value AS s, 1e-2 * value + id % 13 AS e, CASE WHEN id % 7 = 0 THEN 'group:mixed' ELSE kind END AS type, 'g' || id % 2 AS grp FROM {b} c))".replace("md5_number_lower('') * 0 + ", "").replace("{b}", BLOCK_SQL)
