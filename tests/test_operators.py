@@ -145,6 +145,47 @@ def test_disk_difference_crosses_super_tiles(spark):
     assert len(got) == 899
 
 
+def test_disk_difference_and_sampling_take_all_tiles(spark):
+    r = np.random.default_rng(1)
+    v = r.random((3, 12, 12))
+    df = spark.createDataFrame([(t, a, b, float(v[t, a, b])) for t in range(3) for a in range(12) for b in range(12)], "tile int, row long, col long, value double")
+    got = {(x.tile, x.row, x.col): x.tpi for x in raster.disk_difference(df, 1, 5, keys=["tile"]).collect()}
+    assert len(got) == 3 * 144
+    for (t, a, b), tpi in got.items():
+        inner = 0 < a < 11 and 0 < b < 11
+        want = v[t, a, b] - (v[t, a, b] + v[t, a - 1, b] + v[t, a + 1, b] + v[t, a, b - 1] + v[t, a, b + 1]) / 5 if inner else None
+        assert tpi == (pytest.approx(want) if inner else None)
+    cells = spark.createDataFrame([(1, 15.0, 105.0, 2), (2, 500.0, 0.0, 0)], "id long, x double, y double, tile int")
+    every = {(x.id, x.tile): x.value for x in joins.sampled(cells.drop("tile"), df, 0, 120, 10, keys=["tile"]).collect()}
+    assert every == {**{(1, t): v[t, 1, 1] for t in range(3)}, (2, None): None}
+    own = {(x.id, x.tile): x.value for x in joins.sampled(cells, df, 0, 120, 10, keys=["tile"]).collect()}
+    assert own == {(1, 2): v[2, 1, 1], (2, 0): None}
+
+
+def test_raster_queries_take_all_tiles(spark):
+    import duckdb
+
+    from understory.plans import catalog
+    from understory.plans.fixtures import VIEWS
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("lineitem", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for k in ("raster", "cells"):
+        con.execute(f"CREATE VIEW {k} AS {VIEWS[k]}")
+    tpi = con.execute("""SELECT r.tile, r."row", r.col, CASE WHEN count(n.start) = 13 THEN round(r.start - avg(n.start), 4) END FROM raster r
+        JOIN raster n ON n.tile = r.tile AND pow(n."row" - r."row", 2) + pow(n.col - r.col, 2) <= 4 GROUP BY r.tile, r."row", r.col, r.start""").fetchall()
+    got = [(x.tile, x.row, x.col, x.tpi) for x in catalog.QUERIES["ras_disk_difference"](spark, d).collect()]
+    assert sorted(x[:3] for x in got) == sorted(x[:3] for x in tpi) and len({x[0] for x in got}) == 4
+    want = {x[:3]: None if x[3] is None else float(x[3]) for x in tpi}
+    assert all(x[3] == (None if want[x[:3]] is None else pytest.approx(want[x[:3]], abs=2e-4)) for x in got)
+    at = con.execute("""SELECT c.id, r.tile, r.start FROM cells c LEFT JOIN raster r ON r.col = floor(c.x / 20) AND r."row" = floor((900 - c.y) / 20)""").fetchall()
+    got = [(x.id, x.tile, x.value) for x in catalog.QUERIES["join_raster_sample"](spark, d).collect()]
+    plain = lambda rows: sorted(((a, b, None if c is None else float(c)) for a, b, c in rows), key=repr)
+    assert plain(got) == plain(at)
+
+
 def test_curve_fit_finds_planted_parameters():
     r = np.random.default_rng(7)
     start = r.uniform(2, 30, 1000)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REDUCERS = {"mean": F.avg, "median": lambda v: F.percentile(v, 0.5), "p95": lambda v: F.percentile(v, 0.95), "max": F.max}
 
@@ -81,22 +82,23 @@ def pit_free(layers: Sequence[Column], low: float, high: float) -> Column:
     return F.when((top >= low) & (top <= high), top)
 
 
-def disk_difference(cells: DataFrame, radius: int, tile: int, value: str = "value") -> DataFrame:
+def disk_difference(cells: DataFrame, radius: int, tile: int, value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
     """Topographic position: value less the mean of its disk, only where the whole disk is valid.
 
-    Cells go to super-tiles of ``tile`` cells with a halo of the radius; each is one dense convolution by row sums, so
+    Cells of the same keys go to super-tiles of ``tile`` cells with a halo of the radius; each is one dense convolution by row sums, so
     cost is tile x radius, not tile x radius^2, and memory is one super-tile.
     """
     import numpy as np
     import pandas as pd
 
     at = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile)))
-    dealt = cells.select("row", "col", F.col(value).cast("double").alias("v")).withColumn("ti", at("row")).withColumn("tj", at("col"))
+    dealt = cells.select(*keys, "row", "col", F.col(value).cast("double").alias("v")).withColumn("ti", at("row")).withColumn("tj", at("col"))
     half = [int((radius**2 - d * d) ** 0.5) for d in range(-radius, radius + 1)]
     count = sum(2 * h + 1 for h in half)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0, n = key[0] * tile - radius, key[1] * tile - radius, tile + 2 * radius
+        ti, tj = key[-2:]
+        r0, c0, n = ti * tile - radius, tj * tile - radius, tile + 2 * radius
         grid = np.full((n, n), np.nan)
         grid[pdf.row - r0, pdf.col - c0] = pdf.v
         sums = np.zeros((n, n + 1))
@@ -113,9 +115,10 @@ def disk_difference(cells: DataFrame, radius: int, tile: int, value: str = "valu
         own = grid[radius : radius + tile, radius : radius + tile]
         i, j = np.nonzero(np.isfinite(own))
         tpi = np.where(valid[i, j] == count, own[i, j] - total[i, j] / count, np.nan)
-        return pd.DataFrame({"row": i + key[0] * tile, "col": j + key[1] * tile, "tpi": tpi})
+        return pd.DataFrame({"row": i + ti * tile, "col": j + tj * tile, "tpi": tpi}).assign(**dict(zip(keys, key, strict=False)))[[*keys, "row", "col", "tpi"]]
 
-    out = dealt.groupBy("ti", "tj").applyInPandas(one, "row long, col long, tpi double")
+    schema = T.StructType([*[cells.schema[k] for k in keys], *[T.StructField(c, T.LongType()) for c in ("row", "col")], T.StructField("tpi", T.DoubleType())])
+    out = dealt.groupBy(*keys, "ti", "tj").applyInPandas(one, schema)
     return out.withColumn("tpi", F.when(~F.isnan("tpi"), F.col("tpi")))
 
 

@@ -280,8 +280,8 @@ def join_line_distance(spark, d):
 
 @query("""SELECT c.id, r.start AS value FROM (SELECT id, CAST(floor(x / 20) AS BIGINT) AS col, CAST(floor((900 - y) / 20) AS BIGINT) AS "row" FROM cells) c LEFT JOIN (SELECT * FROM raster WHERE tile = 1) r ON c.col = r.col AND c."row" = r."row" """, "cells", "raster")
 def join_raster_sample(spark, d):
-    got = joins.sampled(view(spark, d, "cells"), view(spark, d, "raster").where("tile = 1"), 0, 900, 20, "start")
-    return got.select("id", F.col("start").alias("value"))
+    got = joins.sampled(view(spark, d, "cells"), view(spark, d, "raster"), 0, 900, 20, "start", ["tile"])
+    return got.select("id", "tile", F.col("start").alias("value"))
 
 
 @query(f"SELECT u.cell_id, coalesce(v.near, FALSE) AS near, CASE WHEN coalesce(v.near, FALSE) THEN NULL ELSE u.max_change END AS max_change FROM {UNIQUE_SQL} u LEFT JOIN (SELECT part_id, TRUE AS near FROM vegetation WHERE line_m < 10) v ON u.part_id = v.part_id", "labels_raw", "vegetation")
@@ -590,8 +590,7 @@ def ras_shift_bilinear(spark, d):
 
 @query("""SELECT r."row", r.col, CASE WHEN count(n.start) = 13 THEN round(r.start - avg(n.start), 4) END AS tpi FROM (SELECT * FROM raster WHERE tile = 1) r JOIN (SELECT * FROM raster WHERE tile = 1) n ON (n."row" - r."row") * (n."row" - r."row") + (n.col - r.col) * (n.col - r.col) <= 4 GROUP BY r."row", r.col, r.start""", "raster")
 def ras_disk_difference(spark, d):
-    cells = view(spark, d, "raster").where("tile = 1").select("row", "col", F.col("start").alias("value"))
-    return rounded(raster.disk_difference(cells, 2, 32))
+    return rounded(raster.disk_difference(view(spark, d, "raster"), 2, 32, "start", ["tile"]))
 
 
 @query('SELECT tile, "row", col, CASE WHEN greatest(start, "end", start * 9e-1) BETWEEN 2 AND 45 THEN greatest(start, "end", start * 9e-1) END AS top FROM raster', "raster")
