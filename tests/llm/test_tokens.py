@@ -22,14 +22,14 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_are_the_librarys(name):
-    library, own = Tokenizer.from_file(tokens.path_of(name)), tokens.WordTokenizer(name, entries=500)
+    library, own = Tokenizer.from_file(tokens.path_of(name)), tokens.TextTokenizer(name)
     some = texts(1500)
-    for t, ids in zip(some, own.encode_many(some, run=300), strict=True):
+    for t, ids in zip(some, own.encode_many(some), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
 def test_ids_are_the_librarys_on_the_tables(spark):
-    library, own = Tokenizer.from_file(tokens.path_of("word_bpe_49k.json")), tokens.WordTokenizer("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(tokens.path_of("word_bpe_49k.json")), tokens.TextTokenizer("word_bpe_49k.json")
     some = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_many(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
 
@@ -151,3 +151,13 @@ def test_round_trip_digests(spark):
         t = dict(rows)[r.doc_id] or ""
         ids = m.library.encode(t)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(m.library.decode(ids).encode()).hexdigest())
+
+
+def test_long_texts_are_cut_where_pre_tokens_begin(monkeypatch):
+    monkeypatch.setattr(tokens, "runs", lambda text, own=tokens.runs: own(text, 50))
+    some = " ".join(texts(300)).replace("Σ", "s").replace("<|endoftext|>", "")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        library, own = Tokenizer.from_file(tokens.path_of(name)), tokens.TextTokenizer(name)
+        usual = "".join(c for c in some if not tokens.unusual()(c))
+        for t in (some, usual, "it's 'street ''s ,'s 's's x'RE J̌ Å " * 40):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids

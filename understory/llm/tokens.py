@@ -1,32 +1,63 @@
-"""Token ids of whole texts, with the library's ids for each distinct word kept in a bounded worker cache.
+"""Token ids of whole texts, equal to the tokenizers library's.
 
-A BPE tokenizer never merges across its pre-tokens, so a text is the concatenation of its white-space
-delimited units, and most units repeat. Each unit is encoded once by the library and looked up after
-that. Texts with characters on whose class the libraries and Python may differ, or with the spelling of a
-special token, go to the library whole.
+A BPE tokenizer never merges across its pre-tokens, so a text is the concatenation of its pre-tokens' ids. Texts
+of characters on whose class and case all versions of Unicode agree are cut into pre-tokens here and
+merged by ``tiktoken``'s byte-pair core from the vocabulary in the tokenizer's own file, in one call a
+text; nothing is kept from text to text. All other texts, and those with the spelling of a special
+token, go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from understory.llm.common import map_batches, worker_state
 
-#: Entries that a worker's cache holds, and as many of those before (about 75 MB in all).
-CACHE_ENTRIES = 150_000
+#: Classes of characters; unusual ones are left to the library.
+UNUSUAL, BLANK, LETTER, NUMBER, MARK = range(5)
+#: Characters merged in one call, about; longer texts are cut at white space.
+RUN = 1 << 18
+#: Code points that have a class here: all planes' first, and the pictographs.
+SPANS = ((0, 0xD800), (0xE000, 0x10000), (0x1F000, 0x1FB00))
 
-#: Control, white space and format characters other than space, tab, line feed and carriage return; marks; superscript digits.
-UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\xb2\xb3\xb9\xbc-\xbe\u0300-\u036f\u0600-\u0605\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 
-#: A unit of Latin letters, as every pre-tokeniser here takes it for one word, and punctuation after it.
-PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|]*)").fullmatch
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of each code point, by its category.
+
+    Unusual are control, format and white space characters but the four common ones, marks, what changes
+    under normalisation, jamo, and letters and numbers that were none in Unicode 3.2; so is all beyond the table.
+    """
+    old, out = unicodedata.ucd_3_2_0, np.zeros(SPANS[-1][1] + 1, np.uint8)
+    for first, end in SPANS:
+        for k in range(first, end):
+            c = chr(k)
+            kind = unicodedata.category(c)
+            if c in " \t\n\r":
+                out[k] = BLANK
+            elif kind[0] in "LN":
+                if old.category(c) == kind and unicodedata.is_normalized("NFC", c) and not 0x1100 <= k < 0x1200:
+                    out[k] = LETTER if kind[0] == "L" else NUMBER
+            elif kind[0] in "PS" and unicodedata.is_normalized("NFC", c):
+                out[k] = MARK
+    return out
+
+
+@lru_cache(maxsize=1)
+def unusual() -> Callable[[str], object]:
+    """Finds a character without a class."""
+    edge = np.flatnonzero(np.diff((np.append(classes(), 0) != UNUSUAL).astype(np.int8), prepend=0))
+    return re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)) + "]").search
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,6 +68,13 @@ def _byte_letters() -> dict[int, str]:
 
 BYTE_LETTERS = _byte_letters()
 
+#: Ends a pre-token of a vocabulary with word ends. No usual text holds it.
+END = "\0"
+#: Where a blank run leaves its last blank to what follows.
+SEAM = re.compile(r"(?<=[ \t\n\r])(?=[ \t\n\r][^ \t\n\r])")
+BLANKS = bytes(0x20 if b in b" \t\n\r" else b for b in range(256))
+CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)").match
+
 
 def path_of(name_or_path: str) -> str:
     """A tokenizer file: a path as given, or the place of a public file of that name."""
@@ -47,106 +85,106 @@ def path_of(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-class WordTokenizer:
-    """A tokenizers JSON file whose pre-tokens don't cross white space; ids equal ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
-
-    def __init__(self, name_or_path: str, entries: int = CACHE_ENTRIES):
+def ended(text: str) -> str | None:
+    """Pre-tokens of a lower-cased text, each with ``END`` after it: letters, single numbers, runs of other marks, contractions; blanks go. None if a character is unusual."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = classes()[np.minimum(codes, SPANS[-1][1])]
+    if not kind.all():
+        return None
+    ends = np.empty(len(kind), bool)
+    ends[:-1] = kind[1:] != kind[:-1]
+    ends[-1:] = True
+    ends |= kind == NUMBER
+    solid = kind != BLANK
+    ends &= solid
+    for k in np.flatnonzero(codes == 0x27).tolist():  # a contraction begins where a run of marks would
+        if (k == 0 or kind[k - 1] != MARK) and (m := CONTRACTION(text, k)):
+            ends[k : m.end()] = False
+            ends[m.end() - 1] = True
+    places = np.cumsum(solid.astype(np.int64) + ends)
+    out = np.zeros(int(places[-1]) if len(places) else 0, "<u4")
+    out[(places - 1 - ends)[solid]] = codes[solid]
+    return out.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+class TextTokenizer:
+    """A tokenizers JSON file; ids equal ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
+
+    def __init__(self, name_or_path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path_of(name_or_path))
         spec = json.loads(self.library.to_str())
-        pre, normal = spec["pre_tokenizer"], spec["normalizer"]
+        pre, normal, model = spec["pre_tokenizer"] or {}, spec["normalizer"], spec["model"]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.split, self.word = None, None
-        if normal is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            self.split = re.compile(r" ?[^ \n\r\t]+|[ \n\r\t]+(?![^ \n\r\t])|[ \n\r\t]+").findall  # a unit keeps the one space before it
-            self.word = str
-        elif normal is not None and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed":
-            self.split = str.split  # white space is dropped
-            self.word = str.lower
-        if self.split:
-            self.merged = self._merger(spec["model"])
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the entries before, from which what is asked for again comes back
-        self.marks: dict[str, bytes] = {"": b""}
-        self.entries = entries
-
-    def _merger(self, model: dict) -> Callable[[bytes], list[int]]:
-        """Byte-pair merging of one pre-token by the file's own vocabulary, in which an id is a merge's rank. The byte 0xFF, which no text holds, stands for the end of a word."""
+        self.merge: Callable[[str], list[int]] | None = None
+        self.ends = False
+        if normal is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+            # between seams no look-ahead is needed
+            self.merge = self._merger(model, r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+")
+        elif normal is not None and model.get("end_of_word_suffix") and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed":
+            self.ends = True
+            self.merge = self._merger(model, f"[^{END}]+{END}")
+
+    def _merger(self, model: dict, pattern: str) -> Callable[[str], list[int]]:
+        """Byte-pair merging of whole texts by the file's own vocabulary, in which an id is a merge's rank."""
         from tiktoken import Encoding
 
         back, end = {v: k for k, v in BYTE_LETTERS.items()}, model.get("end_of_word_suffix") or ""
-        ranks = {}
+        ranks: dict[bytes, int] = {}
         for token, k in model["vocab"].items():
-            body, tail = (token[: -len(end)], b"\xff") if end and token.endswith(end) else (token, b"")
-            if token not in self.special:
+            body, tail = (token[: -len(end)], END.encode()) if end and token.endswith(end) else (token, b"")
+            if token not in self.special and not (end and BYTE_LETTERS[0] in body):
                 ranks[bytes(back[c] for c in body) + tail] = k
-        one, tail = Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, b"\xff" if end else b""
-        return lambda word: one(word.encode() + tail)
-
-    def _add(self, units: set[str]) -> None:
-        """Encode units: plain words, and the marks after them, by merging; the rest by the library's whole pipeline."""
-        rest, merged, word, cache, marks, known = [], self.merged, self.word, self.cache, self.marks, self.old.get
-        for u in units:
-            if ids := known(u):
-                cache[u] = ids
-                continue
-            if not (m := PLAIN(u)):
-                rest.append(u)
-                continue
-            core, tail = m.groups()
-            ids = tail and cache.get(core) or array("I", merged(word(core))).tobytes()
-            if tail:
-                if tail not in marks:
-                    marks[tail] = array("I", self.library.encode(tail, add_special_tokens=False).ids).tobytes()
-                ids += marks[tail]
-            cache[u] = ids
-        if rest:
-            for u, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                cache[u] = array("I", e.ids).tobytes()
-
-    def _units(self, lists: list[list[str]]) -> list[bytes]:
-        cache = self.cache
-        if missing := set().union(*lists).difference(cache):
-            if len(cache) + len(missing) > self.entries:
-                self.old, self.cache, self.marks = cache, (cache := {}), {"": b""}
-                missing = set().union(*lists)
-            self._add(missing)
-        return [b"".join(map(cache.__getitem__, x)) for x in lists]
-
-    def encode_many(self, texts: list[str], run: int = 1 << 18) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers. ``run``: characters looked up at once, or units of a longer text."""
-        out: list[bytes] = [b""] * len(texts)
-        at: list[int] = []
-        held: list[list[str]] = []
-        chars = 0
-        for k, text in enumerate(texts):
-            if self.split is None or UNUSUAL.search(text) or any(s in text for s in self.special):
-                out[k] = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-                continue
-            units = self.split(text)
-            if len(units) > run:
-                out[k] = b"".join(self._units([units[i : i + run]])[0] for i in range(0, len(units), run))
-                continue
-            at.append(k)
-            held.append(units)
-            chars += len(text)
-            if chars >= run or k == len(texts) - 1:
-                for i, ids in zip(at, self._units(held), strict=True):
-                    out[i] = ids
-                at, held, chars = [], [], 0
-        if at:
-            for i, ids in zip(at, self._units(held), strict=True):
-                out[i] = ids
-        return out
+        if end:
+            ranks[END.encode()] = max(model["vocab"].values()) + 1  # never alone: each pre-token's last byte has a form with it
+        return Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
-
-
-def tokenizer(name_or_path: str) -> WordTokenizer:
-    """One tokenizer and cache per Python worker, kept over the tasks of an operator."""
-    return worker_state(("tokenizer", name_or_path), lambda: WordTokenizer(name_or_path))
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        if self.merge and not any(s in text for s in self.special):
+            if self.ends:
+                if "Σ" not in text:  # a capital sigma's lower case depends on its place
+                    return self._each(runs(text), lambda p: ended(p.lower()))
+            elif not unusual()(text):
+                doubled = b"  " in text.encode("utf-8", "surrogatepass").translate(BLANKS)
+                return self._each((c for r in runs(text) for c in SEAM.split(r)) if doubled else runs(text), None)
+        return self._whole(text)
+
+    def _each(self, parts: Iterable[str], change: Callable[[str], str | None] | None) -> bytes:
+        out = array("I")
+        for p in parts:
+            if change and (q := change(p)) is None:
+                out.extend(self.library.encode(p, add_special_tokens=False).ids)
+            else:
+                out.extend(self.merge(q if change else p))
+        return out.tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
+
+
+def runs(text: str, size: int = RUN) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut before a single space between other characters, where a pre-token begins in any case."""
+    at = 0
+    while len(text) - at > size:
+        cut = LONE.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+LONE = re.compile(r"(?<=[^ \t\n\r]) (?=[^ \t\n\r])")
+
+
+def tokenizer(name_or_path: str) -> TextTokenizer:
+    """One tokenizer per Python worker, kept over the tasks of an operator."""
+    return worker_state(("tokenizer", name_or_path), lambda: TextTokenizer(name_or_path))
 
 
 def tokenized(df: DataFrame, name_or_path: str, end_id: int | None, ident: str = "doc_id", text: str = "text") -> DataFrame:
