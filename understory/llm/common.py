@@ -63,15 +63,25 @@ def discard(df: DataFrame) -> None:
 _STATE: dict = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def enter(key: object = None) -> None:
+    """Begin a task of a Python stage: what a stage of another operator kept in this worker goes. A worker serves all operators of a job in turn and keeps one thing at a time."""
+    if _STATE and key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        give_back()
+
+
 def worker_state(key: object, make: Callable[[], object]) -> object:
-    """What a Python worker keeps between tasks: one thing at a time. A worker serves all operators of a job in turn, and what an earlier one kept is given back to the system first."""
+    """What a Python worker keeps between the tasks of one operator."""
+    enter(key)
     if key not in _STATE:
-        if _STATE:
-            _STATE.clear()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
-            pa.default_memory_pool().release_unused()
         _STATE[key] = make()
     return _STATE[key]
 
@@ -84,18 +94,23 @@ def sliced(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
-def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = ROWS) -> DataFrame:
-    """``mapInArrow`` with per-worker state: ``start()`` runs once a task, its result turns some rows into columns."""
+def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = ROWS, state: tuple[object, Callable[[], object]] | None = None) -> DataFrame:
+    """``mapInArrow`` with per-worker state: ``start`` runs once a task, its result turns some rows into columns.
+
+    ``state`` is the key and the maker of what the worker keeps between tasks, which ``start`` then gets.
+    """
     from pyspark.sql.types import StructType
 
     names = StructType.fromDDL(schema).fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = start()
+        enter(state and state[0])
+        one = start(worker_state(*state)) if state else start()
         for batch in batches:
             for some in sliced(batch, rows):
                 got = one(some)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (got[n] for n in names)], names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -218,6 +233,7 @@ def _fold_local(edges: DataFrame) -> DataFrame:
     """Replace each task's links by a spanning forest of them, at most one link a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         own = np.empty((0, 2), np.int64)
 
         def fold(e: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import parts_of, range_dealt, sliced
+from understory.llm.common import enter, parts_of, range_dealt, sliced
 
 BUCKETS = 256
 #: Difference at which two digests count as unlike; scores beyond are cut there.
@@ -99,6 +99,7 @@ def fingerprinted(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         held: tuple | None = None  # a row that waits for its next: part, id, text, digest
 
         def rows_(b: pa.RecordBatch) -> Iterator[tuple]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import block_pairs, components, forest, grouped_batches, map_batches, stored
+from understory.llm.common import block_pairs, components, enter, forest, grouped_batches, map_batches, stored
 
 THRESHOLD = 0.93
 TABLES = 32
@@ -55,6 +55,7 @@ def _hashes() -> tuple:
 def _links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows of buckets -> per member of a bucket with a link: its root there, and how many vectors it links with first there."""
+        enter()
         for t, at in grouped_batches(batches, ["key", "t", "label", "dim", "_i", "_j"]):
             sizes = np.diff(at)
             if not (sizes > 1).any():

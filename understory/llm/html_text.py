@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import parts_of, range_dealt, sliced
+from understory.llm.common import enter, parts_of, range_dealt, sliced
 
 # ---------------------------------------------------------------- blocks of a page
 
@@ -278,6 +278,7 @@ def extracted(pages: DataFrame, ident: str = "page_id", url: str = "url", page:
     names = ["id", "url", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         prev = here = None  # (part, copy, host, path, id, url, blocks)
 
         def done(nxt: tuple | None) -> tuple | None:

@@ -8,13 +8,14 @@ that alignment to a byte span of the original text.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import map_batches, worker_state
+from understory.llm.common import map_batches
 from understory.llm.tokens import path_of
 
 SPACE = "▁"
@@ -161,17 +162,16 @@ class PieceModel:
         return out
 
 
-def piece_model(name_or_path: str) -> PieceModel:
-    return worker_state(("pieces", name_or_path), lambda: PieceModel(name_or_path))
+def kept(name_or_path: str) -> tuple[tuple, Callable[[], PieceModel]]:
+    """Key and maker of the model that a Python worker keeps over the tasks of an operator."""
+    return ("pieces", name_or_path), lambda: PieceModel(name_or_path)
 
 
 def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, ids array<int>, begins array<int>, ends array<int>): pieces of each whole text and their byte spans. Null texts are empty; narrow."""
     kind = dict(docs.dtypes)[ident]
 
-    def start():
-        m = piece_model(model)
-
+    def start(m: PieceModel):
         def one(b: pa.RecordBatch) -> dict:
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = m.encode_many(texts)
@@ -181,16 +181,14 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", ident: str = "d
 
         return one
 
-    return map_batches(docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("t")), f"id {kind}, ids array<int>, begins array<int>, ends array<int>", start).withColumnRenamed("id", ident)
+    return map_batches(docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("t")), f"id {kind}, ids array<int>, begins array<int>, ends array<int>", start, state=kept(model)).withColumnRenamed("id", ident)
 
 
 def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Digests of each text's ids and decoded text, and the bytes of the original that its spans cover. A null text is empty."""
     kind = dict(docs.dtypes)[ident]
 
-    def start():
-        m = piece_model(model)
-
+    def start(m: PieceModel):
         def one(b: pa.RecordBatch) -> dict:
             n, ids_h, text_h, covered = [], [], [], []
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -204,4 +202,4 @@ def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", ident: str =
 
         return one
 
-    return map_batches(docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("t")), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long", start).withColumnRenamed("id", ident)
+    return map_batches(docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("t")), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long", start, state=kept(model)).withColumnRenamed("id", ident)

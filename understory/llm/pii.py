@@ -278,17 +278,25 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> D
     """The documents with personal data replaced in ``text`` (a null text stays null); ``n_chars``, where there is one, follows."""
     model = fitted()
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        def one(t):
+    kinds = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)]
+    at, size = docs.columns.index(text), docs.columns.index(n_chars) if n_chars in docs.columns else None
+
+    def start():
+        def clean(t: str | None) -> str | None:
             if t is None:
                 return None
             base = base_spans(t)
             return redact(t, base + added_spans(t, base, model))
 
-        return texts.map(one)
+        def one(b: pa.RecordBatch) -> dict:
+            out = {f"c{k}": c for k, c in enumerate(b.columns)}
+            texts = [clean(t) for t in b.column(at).to_pylist()]
+            out[f"c{at}"] = pa.array(texts, pa.string())
+            if size is not None:
+                out[f"c{size}"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(size).type)
+            return out
+
+        return one
 
-    out = docs.withColumn(text, clean(F.col(text).cast("string")))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(docs.columns)
+    own = docs.withColumn(text, F.col(text).cast("string")).toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return map_batches(own, ", ".join("c%d string" % at if k == at else c for k, c in enumerate(kinds)), start).toDF(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import block_pairs, components, discard, forest, grouped_batches, map_batches, stored
+from understory.llm.common import block_pairs, components, enter, forest, grouped_batches, map_batches, stored
 
 SEED = 42
 WORDS = 3
@@ -88,6 +88,7 @@ def chain_pairs(a: np.ndarray, b: np.ndarray, first: int, most: int = MOST_BITS)
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (key, _i, _j, _b, fp) -> links of a spanning forest of each bucket's near fingerprints."""
+    enter()
     for t, at in grouped_batches(batches, ["key", "_i", "_j"]):
         keys, fp = t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
         block, lo, hi = (t.column(c).to_numpy() for c in ("_b", "_i", "_j"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from understory.llm.common import fresh_path, parts_of, range_dealt, sliced
+from understory.llm.common import enter, fresh_path, parts_of, range_dealt, sliced
 from understory.llm.tokens import tokenizer
 
 MAGIC = 0x31465055
@@ -191,6 +191,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter()
         for b in batches:
             for row in range(b.num_rows):
                 part, start, docs_, sizes, payload = (b.column(k)[row] for k in range(5))

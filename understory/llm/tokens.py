@@ -182,9 +182,13 @@ def runs(text: str, size: int = RUN) -> Iterator[str]:
 LONE = re.compile(r"(?<=[^ \t\n\r]) (?=[^ \t\n\r])")
 
 
+def kept(name_or_path: str) -> tuple[tuple, Callable[[], TextTokenizer]]:
+    """Key and maker of the tokenizer that a Python worker keeps over the tasks of an operator."""
+    return ("tokenizer", name_or_path), lambda: TextTokenizer(name_or_path)
+
+
 def tokenizer(name_or_path: str) -> TextTokenizer:
-    """One tokenizer per Python worker, kept over the tasks of an operator."""
-    return worker_state(("tokenizer", name_or_path), lambda: TextTokenizer(name_or_path))
+    return worker_state(*kept(name_or_path))
 
 
 def tokenized(df: DataFrame, name_or_path: str, end_id: int | None, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,15 +198,15 @@ def tokenized(df: DataFrame, name_or_path: str, end_id: int | None, ident: str =
     """
     kind = dict(df.dtypes)[ident]
 
-    def start():
-        tok, end = tokenizer(name_or_path), array("I", [] if end_id is None else [end_id]).tobytes()
+    def start(tok: TextTokenizer):
+        end = array("I", [] if end_id is None else [end_id]).tobytes()
 
         def one(b: pa.RecordBatch) -> dict:
             return {"id": b.column(0), "ids": pa.array([ids + end for ids in tok.encode_many([t or "" for t in b.column(1).to_pylist()])], pa.binary())}
 
         return one
 
-    out = map_batches(df.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("t")), f"id {kind}, ids binary", start)
+    out = map_batches(df.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("t")), f"id {kind}, ids binary", start, state=kept(name_or_path))
     return out.withColumnRenamed("id", ident)
 
 
