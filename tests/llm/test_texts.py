@@ -1,5 +1,6 @@
 import hashlib
 import html
+import math
 import random
 import re
 
@@ -15,35 +16,87 @@ SF = "/root/testdata/sf0.001"
 # ---------------------------------------------------------------- language
 
 
+def brute_log(word, p, number, longest):
+    """Log of the sum over all segmentations, scaled by exact integers' logs: plain recursion over prefixes in fractions."""
+    from fractions import Fraction
+
+    a = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        total = Fraction(0)
+        for l in range(1, min(j, longest) + 1):
+            s = word[j - l : j]
+            q = p[number[s]] if s in number else (langid.STRAY if l == 1 else 0.0)
+            total += a[j - l] * Fraction(float(q))
+        a.append(total)
+    return math.log(a[-1].numerator) - math.log(a[-1].denominator)
+
+
+def vocabulary():
+    t = langid.trie(langid.VOCABULARY)
+    return t, {w: k for k, w in enumerate(langid.vocabulary(langid.VOCABULARY))}
+
+
 def test_forward_sums_all_segmentations():
-    table = langid.piece_table(langid.VOCABULARY)
-    words = ["there", "inter", "zzzzé"]
-    r = np.random.default_rng(0)
-    p = np.append(r.random(table.none), [0.0, 1e-6])
-    number = {w: k for k, w in enumerate(langid.vocabulary(langid.VOCABULARY))}
+    t, number = vocabulary()
+    p = np.append(np.random.default_rng(0).random(t.none) * 1e-4, [0.0, langid.STRAY])
+    for w in ["a", "there", "zzzzé", "executioncontext", "internationalization" * 3, "ሀ" * 54, "the" + "漢" * 64, "ѣ" * 200]:
+        assert langid.Lattice(t, [w]).logs(p)[0] == pytest.approx(brute_log(w, p, number, t.longest), rel=1e-9), w
+    assert max(map(len, number)) == t.longest == 16  # no piece of letters is left out
 
-    def brute(w):
-        if not w:
-            return 1.0
-        total = 0.0
-        for k in range(1, min(len(w), langid.LONGEST) + 1):
-            q = p[number[w[:k]]] if w[:k] in number else (1e-6 if k == 1 else 0.0)
-            total += q * brute(w[k:])
-        return total
 
-    got = langid.Lattice(table, words).forward(p)[:, 5]
-    assert got == pytest.approx([brute(w) for w in words])
+def test_long_words_go_on_from_segment_to_segment(monkeypatch):
+    t, number = vocabulary()
+    p = np.append(np.random.default_rng(1).random(t.none) * 1e-4, [0.0, langid.STRAY])
+    scorer = langid.Scorer(langid.Model(["a", "b"], np.stack([p, np.append(p[:-2] * 0.5, p[-2:])], axis=1)))
+    word = "internationalizationሀcontext" * 9
+    whole = langid.Lattice(t, [word]).logs(scorer.model.p)[0]
+    monkeypatch.setattr(langid, "SEGMENT", 19)
+    assert scorer._long(word) == pytest.approx(whole, rel=1e-9)
 
 
 def test_expected_counts_are_the_gradient():
-    table = langid.piece_table(langid.VOCABULARY)
-    x = langid.Lattice(table, ["there"])
-    p = np.append(np.random.default_rng(1).random(table.none), [0.0, 1e-6])
-    c = x.expected(p, np.array([1.0]))
-    k = int(c.argmax())
-    up = p.copy()
-    up[k] *= 1 + 1e-6
-    assert (np.log(x.forward(up)[0, 5]) - np.log(x.forward(p)[0, 5])) / 1e-6 == pytest.approx(c[k], rel=1e-3)
+    t, _ = vocabulary()
+    p = np.append(np.random.default_rng(1).random(t.none) * 1e-3, [0.0, langid.STRAY])
+    for w in ("there", "internationalization" * 5):
+        x = langid.Lattice(t, [w])
+        c = x.expected(p, np.array([1.0]))
+        k = int(c[:-2].argmax())
+        up = p.copy()
+        up[k] *= 1 + 1e-6
+        assert (x.logs(up)[0] - x.logs(p)[0]) / 1e-6 == pytest.approx(c[k], rel=1e-3)
+
+
+def test_prediction_equals_brute_force(spark):
+    t, number = vocabulary()
+    model = langid.fit({"en": {"the": 5, "thing": 3, "there": 2}, "de": {"der": 4, "die": 4, "und": 3, "dinge": 1}})
+    some = ["the der thing", "Dinge und THERE, there!", "x" * 50 + " der", "ሀ" * 70, "the " + "漢" * 64, "ß"]
+    docs = spark.createDataFrame([(k, s, "en", 1, "t", "s") for k, s in enumerate(some)], DOCS)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predicted(docs, model).collect()}
+    for k, s in enumerate(some):
+        total = np.array([sum(brute_log(w, model.p[:, j], number, t.longest) for w in re.findall(r"[^\W\d_]+", s.lower())) for j in range(2)]) / langid.TEMPERATURE
+        p = np.exp(total - total.max())
+        assert got[k][0] == model.languages[int(p.argmax())] and got[k][1] == pytest.approx(p.max() / p.sum(), rel=1e-9)
+
+
+@pytest.mark.parametrize("letters", [54, 64, 1000, 5000])
+def test_letters_that_no_language_has(spark, letters):
+    train = [(k, "the thing there " * 5 + "the" + "ሀ" * letters, "en") for k in range(12)] + [(k, "der die das und " * 5 + "漢" * letters, "de") for k in range(12, 24)]
+    own = spark.createDataFrame([(*r, 1, "t", "s") for r in train], DOCS)
+    model = langid.fitted(own)
+    assert np.isfinite(model.p).all() and model.p.sum(axis=0) == pytest.approx(1)
+    rows = [(1, "the thing " * 9 + "漢" * letters), (2, "der die und " * 9 + "ሀ" * letters), (3, "ѣ" * letters)]
+    got = {r.doc_id: r for r in langid.predicted(spark.createDataFrame([(i, s, "en", 1, "t", "s") for i, s in rows], DOCS), model).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred) == ("en", "de") and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_fit_on_the_executors_equals_the_local_one(spark):
+    rows = [(k, s, lang, 1, "t", "s") for k, (s, lang) in enumerate([("the thing there", "en"), ("der die das und", "de"), ("the the other", "en"), ("und und die", "de")] * 5)]
+    counts = langid.training_words(spark.createDataFrame(rows, DOCS))
+    words = {}
+    for r in counts.collect():
+        words.setdefault(r.lang, {})[r.w] = r.n
+    a, b = langid.fitted_on(counts), langid.fit(words)
+    assert a.languages == b.languages and a.p == pytest.approx(b.p, rel=1e-9)
 
 
 def test_held_out_accuracy_and_undecided(spark):
