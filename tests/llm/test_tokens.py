@@ -66,11 +66,42 @@ def test_packing_holds_every_id_once(spark):
     assert used / (256 * len(places)) > 0.95
 
 
+def piece(doc, n):
+    return doc, 0, n, bytes(4 * n), n
+
+
 def test_classes_take_a_fixed_count():
     packer = packing.Packer(64, 0)
-    closed = [p for k in range(8) for p in packer.place((k, 0, 16, b"", 16))]
+    assert packer.place(piece("filler", 40)) == []
+    closed = [p for k in range(8) for p in packer.place(piece(k, 16))]
     assert [p[5] for p in closed] == [0] * 4 + [1] * 4 and [p[6] for p in closed] == [0, 16, 32, 48] * 2
-    assert list(packing.cut(64 * 2 + 37, 64, 8)) == [(0, 64), (64, 64), (128, 32), (160, 5)]
+    # a gap is filled from the filler's head; a full sequence closes at once
+    closed = [p for k in range(3) for p in packer.place(piece(k, 15))]
+    assert closed == [] and packer.place(piece(3, 15 + 64))[0][2:3] == (64,) and len(packer.open[4]) == 0
+    packer = packing.Packer(64, 0, least=8)
+    packer.place(piece("filler", 40))
+    assert [(p[0], p[1], p[2], p[6]) for p in packer.place(piece("a", 50))] == [("a", 0, 50, 0), ("filler", 0, 14, 50)]
+    assert packer.filler[1:3] == (14, 26)
+    packer.place(piece("b", 34))  # takes the filler whole and waits: 34 + 26 leaves 4, under 8
+    assert packer.filler is None
+
+
+def test_bins_cost_one_cut_and_waste_little():
+    r, packer, out, n = random.Random(3), packing.Packer(4096, 0), [], 5000
+    for k in range(n):
+        out += packer.place(piece(k, r.choice([r.randrange(1, 60), r.randrange(1, 900), r.randrange(1, 20_000)])))
+    total = sum(p[2] for p in out)
+    bins = {p[5]: 0 for p in out}
+    for p in out:
+        bins[p[5]] += p[2]
+    assert all(4096 - 16 < size <= 4096 for size in bins.values()) and total / 4096 / len(bins) > 0.998
+    assert len(out) < n + 2 * len(bins)
+    rest = packer.rest()
+    assert {p[5] for p in rest}.isdisjoint(bins) and sum(p[2] for p in rest) < 300 * 4096
+    sizes = {}
+    for p in rest:
+        sizes[p[5]] = sizes.get(p[5], 0) + p[2]
+    assert sum(size < 4096 for size in sizes.values()) <= 1
 
 
 def test_token_files_round_trip():
