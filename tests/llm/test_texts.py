@@ -151,14 +151,71 @@ def test_article_is_kept_and_the_rest_goes():
       <article><h1>Head &amp; line</h1><p>One <b>two</b>
       three<br>four<p>Five &eacute;</p><aside>Side</aside><div class="ad">Buy</div><ul><li>a<li>b</ul><form>Your mail<input></form><script>var t="</p>";</script><!-- no --></article>
       <section id="comments"><p>First!</p></section><footer>&copy; me</footer></body></html>"""
-    assert html_text.main_lines(html_text.blocks(page), None) == ["Head & line", "One two three four", "Five é", "a", "b"]
+    assert html_text.main_lines(html_text.blocks(page), None)[0] == ["Head & line", "One two three four", "Five é", "a", "b"]
 
 
 def test_template_lines_go_by_difference():
     page = lambda body: f"<body><div>Site name</div><div><p>Slogan of the site</p>{body}</div><div>All rights</div></body>"
     a, b = (html_text.blocks(page(f"<p>{w} one</p><p>{w} two</p>")) for w in ("apple", "pear"))
-    assert html_text.main_lines(a, b) == ["apple one", "apple two"]
-    assert html_text.main_lines(a, a) == ["Site name", "Slogan of the site", "apple one", "apple two", "All rights"]
+    assert html_text.main_lines(a, b) == (["apple one", "apple two"], 3, 0)
+    assert html_text.main_lines(a, None)[0] == ["Site name", "Slogan of the site", "apple one", "apple two", "All rights"]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div class='content with-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<div class='has-sidebar'><p>a</p><div class=sidebar>b</div></div>", "a"),
+    ("<div id='page-with-menu' class='no-sidebar'><main><p>a</p></main></div>", "a"),
+    ("<div class='sidebar'><article><p>a</p></article><p>b</p></div>", "a"),
+    ("<article><p>a</p></article><div class='comments'><article><p>no</p></article></div>", "a"),
+    ("<p>a</p><svg viewBox='0 0 1 1'/><p>b</p>", "a\nb"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>", "so x=1 holds"),
+    ("<p title=\"abc>one</p><p>two</p>", "one\ntwo"),
+    ("<p title=it's>one", "one"),
+    ("<article><section class='related-work'><p>a</p></section><div class='social-history'>b</div><div class='related-posts'>no</div><div class='article-share'>no</div></article>", "a\nb"),
+    ("<p>one <span class='ad'>buy</span> two</p>", "one two"),
+])
+def test_layouts(page, want):
+    assert "\n".join(html_text.main_lines(html_text.blocks(page), None)[0]) == want
+
+
+def brute_pages(rows):
+    """Every page against its nearest unlike neighbours in one sorted list."""
+    def key(r):
+        bare = re.sub(r"^[a-z][a-z0-9+.-]*://|[?#].*$", "", (r[1] or "").lower())
+        host = re.sub(r"^www\.|:\d+$", "", bare.split("/")[0])
+        return host, bare[len(bare.split("/")[0]) :], str(r[0]).zfill(20) if r[0] is not None else "~", r[2] or ""
+
+    order, out = sorted(rows, key=key), []
+    found = [html_text.blocks(r[2] or "") for r in order]
+    lines = [[b[0] for b in f] for f in found]
+    for k, r in enumerate(order):
+        near = []
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(order) and key(order[j])[0] == key(r)[0] and lines[j] == lines[k]:
+                j += step
+            if 0 <= j < len(order) and key(order[j])[0] == key(r)[0]:
+                a, b = key(order[j])[1], key(r)[1]
+                near.append((-next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))), step, found[j]))
+        best = min(near, key=lambda x: x[:2])[2] if near else None
+        out.append((r[0], r[1], "\n".join(html_text.main_lines(found[k], best)[0])))
+    return sorted(out, key=repr)
+
+
+def test_pages_meet_their_nearest_unlike_neighbour(spark):
+    r, rows = random.Random(6), []
+    for k in range(160):
+        host, part = r.choice(["a.com", "b.org"]), r.randrange(3)
+        body = "".join(f"<p>{w}</p>" for w in r.sample(["w1", "w2", "w3", "w4"], r.randrange(1, 3)))
+        rows.append((k, f"https://www.{host}/{part}/{k % 9}", f"<div>Site {host}</div><div>Part {part}</div>{body}<div>All rights</div>"))
+    rows += [(200 + k, f"http://a.com/1/copy{k:03}", "<div>Site a.com</div><div>Part 1</div><p>twin</p><div>All rights</div>") for k in range(90)]  # fills whole ranges
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = html_text.extracted(df).collect()
+        assert sorted(((x.page_id, x.url, x.text) for x in got), key=repr) == brute_pages(rows)
+        assert {x.text for x in got if x.page_id >= 200} == {"twin"} and sum(x.aligned_lines for x in got) > 300
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
 def test_copied_articles_stay(spark):

@@ -1,11 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path; each is paired with the neighbour whose path shares the longest prefix. Their text
-lines (blocks) are aligned by longest common subsequence; lines of the alignment are the site's template and go. What
-the markup itself says comes on top: scripts, menus, adverts and the like go even where they differ
-from page to page, and inside an explicit article a shared line goes only if it is mostly links, so that an
-article that is copied to another page of the site isn't lost. A page that equals its neighbour line for line says
-nothing about the template and is judged by its markup alone.
+Pages of a host are ordered by URL path; each is paired with that one of its nearest unlike neighbours whose path shares the
+longer prefix, the one before if they tie. All their text lines (blocks), menus and footers too, are aligned by longest
+common subsequence; lines of the alignment are the site's template and go. What the markup itself says comes
+second: scripts, menus, adverts and the like go even where they differ from page to page, and inside an explicit article
+a shared line goes only if it is mostly links, so that an article that is copied to another page of the site
+isn't lost. Neighbours that equal the page line for line say nothing about the template and are passed over.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from understory.llm.common import enter, parts_of, range_dealt, sliced
 
 # ---------------------------------------------------------------- blocks of a page
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noframes", "noembed", "xmp", "svg", "math", "object", "select"}
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)""", re.S)
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noframes", "noembed", "xmp", "svg", "annotation", "annotation-xml", "object", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
@@ -32,39 +32,56 @@ BLOCK = {
 }
 DROPPED = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "search", "fieldset", "head"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words of class, id and role values that name something other than the article.
-OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|ted)?|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side-?bar|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|comments?|comment-?list|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|popup|modal|overlay|footer|header|masthead|"
-    r"toolbar|pagination|pager|widget|complementary|contentinfo|search|login|skip-?link)(?:$|[\s_-])",
+#: Words of class, id and role values that name something other than the article; of these, the parts of a page's layout, in which an article may lie.
+LAYOUT = "sidebar|side-?bar|menu|nav|navbar|navigation|banner|header|footer|masthead|toolbar|widget|search|social|share|sharing|notices?|alert|cookies?|consent|modal|overlay"
+APART = (
+    "ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|ted)?|gdpr|breadcrumbs?|comments?|comment-?list|replies|respond|disqus|related|recommended|newsletter|"
+    "subscribe|subscription|signup|popup|pagination|pager|complementary|contentinfo|login|skip-?link"
+)
+OTHER = re.compile(rf"(?:^|[\s_-])(?:{LAYOUT}|{APART})(?:$|[\s_-])", re.I)
+NEVER = re.compile(rf"(?:^|[\s_-])(?:{APART})(?:$|[\s_-])", re.I)
+#: Names that say whether a page has such a part, and are not it.
+ABOUT = re.compile(r"(?:^|(?<=\s))(?:[\w-]+-)?(?:with|has|no|without)[_-][\w-]*", re.I)
+#: Inside an article the whole name must be of this kind: "related-posts", but not "related-work".
+INSIDE = re.compile(
+    rf"(?:^|\s)(?:(?:article|post|entry|page|site|story|inline|top|bottom|left|right|main|content|js|reader|user)[_-])?(?:{LAYOUT}|{APART})"
+    r"(?:[_-](?:box|block|list|area|section|wrapper|container|inner|links?|posts?|articles?|stories|buttons?|bar|slot|unit|banner|form|widget|icons?|thread|text|content|item|\d+))*(?=\s|$)",
     re.I,
 )
 MAIN = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?content|entry-?content|story-?body|main-?content|articlebody)(?:$|[\s_-])", re.I)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 #: Elements that a new one of the key closes, up to the named boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DROP, KEEP, PLAIN = 0, 1, 2
+DROP, KEEP, PLAIN, ASIDE = 0, 1, 2, 3  # ASIDE is dropped too, but an article inside it stays
 
 
 def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, place, linked) of each block in page order: place is DROP, KEEP (in an article) or PLAIN; linked if links hold over half its letters."""
+    """(text, place, linked) of each block in page order: place is DROP, KEEP (in an article) or PLAIN; linked if links hold over half its letters.
+
+    What is dropped inside a line, such as a mark in a paragraph, is a block of its own after it.
+    """
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, int]] = []  # name, place inside
     place, links = PLAIN, 0
     words: list[str] = []
+    gone: list[str] = []
     linked = plain = 0
+    spot = PLAIN
 
     def flush() -> None:
-        nonlocal words, linked, plain
-        if words:
-            text = " ".join(html.unescape("".join(words)).split())
-            if text:
-                out.append((text, place, linked > plain))
-        words, linked, plain = [], 0, 0
+        nonlocal words, gone, linked, plain
+        for found, at_, of in ((words, spot, linked > plain), (gone, DROP, False)):
+            if found and (text := " ".join(html.unescape("".join(found)).split())):
+                out.append((text, at_, of))
+        words, gone, linked, plain = [], [], 0, 0
 
     def add(s: str) -> None:
-        nonlocal linked, plain
-        if s and place != DROP:
+        nonlocal linked, plain, spot
+        if s and place in (DROP, ASIDE):
+            gone.append(s)
+        elif s:
+            if not words:
+                spot = place
             words.append(s)
             if links:
                 linked += len(s.strip())
@@ -104,6 +121,8 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                     flush()
             continue
         if name in RAW:
+            if name == "svg" and m[0].endswith("/>"):
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             add(" ")
@@ -141,11 +160,13 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         if name == "a":
             links += 1
         if place != DROP:
-            inside = place == KEEP
-            if name in DROPPED or hidden or name == "header" and not inside or name not in HEADINGS | {"body", "html", "article", "main"} and OTHER.search(marks):
+            marks = ABOUT.sub("", marks) if marks else marks
+            other = None if name in HEADINGS | {"body", "html", "article", "main"} else (INSIDE if place == KEEP else OTHER).search(marks)
+            if name in DROPPED or hidden or name == "header" and place != KEEP or other:
                 flush() if name in BLOCK else None
-                place = DROP
-            elif name in ("article", "main") or MAIN.search(marks):
+                place = ASIDE if other and place != KEEP and not (name in DROPPED or hidden or NEVER.search(marks)) else DROP
+            elif name in ("article", "main") or place == PLAIN and MAIN.search(marks):
+                flush()
                 place = KEEP
         if m[0].endswith("/>") and name not in BLOCK and stack[-1][0] == name and name != "a":
             pop(len(stack) - 1)
@@ -226,13 +247,22 @@ def _lcs(x: list, y: list, most_bits: int) -> list[int]:
 # ---------------------------------------------------------------- pages
 
 
-def main_lines(own: list[tuple[str, int, bool]], other: list[tuple[str, int, bool]] | None) -> list[str]:
-    """The page's lines that stay, given its neighbour's blocks (None: no neighbour)."""
+Block = tuple[str, int, bool]
+
+
+def main_lines(own: list[Block], other: list[Block] | None) -> tuple[list[str], int, int]:
+    """The page's lines that stay, given its neighbour's blocks (None: no neighbour), and how many the alignment and the markup removed."""
     explicit = any(place == KEEP for _, place, _ in own)
-    mine = [t for t, _, _ in own]
-    theirs = [t for t, _, _ in other] if other else []
-    gone = set(shared(mine, theirs)) if theirs and mine != theirs else set()
-    return [t for k, (t, place, linked) in enumerate(own) if place == (KEEP if explicit else PLAIN) and not (k in gone and (linked or not explicit))]
+    gone = set(shared([t for t, _, _ in own], [t for t, _, _ in other])) if other else set()
+    stay, aligned, marked = [], 0, 0
+    for k, (t, place, linked) in enumerate(own):
+        if k in gone and (linked or not (explicit and place == KEEP)):
+            aligned += 1
+        elif place != (KEEP if explicit else PLAIN):
+            marked += 1
+        else:
+            stay.append(t)
+    return stay, aligned, marked
 
 
 def url_key(url: Column) -> Column:
@@ -251,58 +281,109 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+class Run:
+    """Pages of equal lines in a row, which wait for the next unlike one."""
+
+    def __init__(self, part: int, host: str, lines: list[str], before: tuple[str, list[Block]] | None):
+        self.part, self.host, self.lines, self.before = part, host, lines, before
+        self.path, self.blocks = "", []
+        self.pages: list[tuple[object, str | None, str, list[Block]]] = []
+
+    def add(self, copy: int, ident: object, url: str | None, path: str, found: list[Block]) -> None:
+        if found == self.blocks:  # copies share one list
+            found = self.blocks
+        self.path, self.blocks = path, found
+        if not copy:
+            self.pages.append((ident, url, path, found))
+
+    def done(self, after: tuple[str, list[Block]] | None) -> Iterator[tuple]:
+        """(id, url, text, lines that the alignment removed, lines that the markup removed) of each page."""
+        known: dict[tuple[int, int], tuple] = {}
+        for ident, url, path, found in self.pages:
+            best, size = None, -1
+            for x in (self.before, after):
+                if x and (n := _prefix(x[0], path)) > size:
+                    best, size = x, n
+            at = id(found), id(best)
+            if at not in known:
+                lines, aligned, marked = main_lines(found, best[1] if best else None)
+                known[at] = "\n".join(lines), aligned, marked
+            yield ident, url, *known[at]
+
+
+def _neighbours(dealt: DataFrame, edges: list[tuple]) -> DataFrame:
+    """(key, p): pages that ranges need from others: the pages beside each range, and the nearest ones unlike those.
+
+    Reads keys and hashes of the pages; a few rows a range reach the driver.
+    """
+    spark, h = dealt.sparkSession, F.xxhash64("html")
+    ends = {r["_part"]: r for r in dealt.groupBy("_part").agg(F.min(F.struct("key", h.alias("h"))).alias("lo"), F.max(F.struct("key", h.alias("h"))).alias("hi")).collect()}
+    order = [e[0] for e in edges]
+    wanted: set[tuple[str, int]] = set()
+    if len(order) > 1:
+        marks = spark.createDataFrame([(p, ends[p].lo.h, ends[p].hi.h) for p in order], "_part int, lo long, hi long")
+        unlike = {r["_part"]: r for r in dealt.join(F.broadcast(marks), "_part").groupBy("_part").agg(F.min(F.when(h != F.col("lo"), F.col("key"))).alias("first"), F.max(F.when(h != F.col("hi"), F.col("key"))).alias("last")).collect()}
+        for way in (1, -1):
+            for k, p in enumerate(order):
+                near = range(k - way, -1 if way > 0 else len(order), -way)  # outwards
+                mine, seen = (ends[p].lo if way > 0 else ends[p].hi).h, False
+                for j in near:
+                    edge = ends[order[j]].hi if way > 0 else ends[order[j]].lo
+                    if not seen or edge.h != mine:
+                        wanted.add((edge.key, p))
+                        seen = True
+                    if edge.h != mine:
+                        break
+                    if other := unlike[order[j]].last if way > 0 else unlike[order[j]].first:
+                        wanted.add((other, p))
+                        break
+    return spark.createDataFrame(sorted(wanted), "key string, p int")
+
+
 def extracted(pages: DataFrame, ident: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """(ident, url, text): the main text of every page, lines joined by a line feed; empty if none.
+    """(ident, url, text, aligned_lines, marked_lines): the main text of every page, lines joined by a line feed, empty if none, and how many lines the alignment and the markup removed.
 
-    Pages move once, to ranges of (host, path, id); the first and last page of each range also go to their neighbours, so each
-    page meets the pages beside it, as in one global order. Null urls are one host without name, null html is
-    empty, equal keys are ordered by html. Memory: a batch and three pages.
+    Pages move once, to ranges of (host, path, id); the pages beside each range, and the nearest ones unlike those, are sent to
+    it too, so each page meets its unlike neighbours as in one global order. Null urls are one host without name,
+    null html is empty, equal keys are ordered by html. Memory: a batch, three pages, and the ids and
+    urls of a range's pages of equal lines.
     """
     spark = pages.sparkSession
     kind = dict(pages.dtypes)[ident]
     key = F.concat(url_key(F.col(url)), F.lit("\x01"), F.coalesce(F.lpad(F.col(ident).cast("string"), 20, "0"), F.lit("~")))
     rows = pages.select(F.col(ident).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"), key.alias("key"))
     dealt, edges = range_dealt(rows, "key", parts_of(spark, 4))
-    to = F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("copy")))
-    if edges:
-        number = {p: k for k, (p, *_) in enumerate(edges)}
-        pick = lambda values: F.element_at(F.map_from_arrays(F.array(*[F.lit(p) for p in number]), F.array(*[F.lit(v) for v in values])), F.col("_part"))
-        at = pick(list(number.values()))
-        parts = F.array(*[F.lit(p) for p in number])
-        down = F.when((F.col("key") == pick([e[1] for e in edges])) & (at > 0), F.array(F.struct(F.get(parts, at - 1).alias("p"), F.lit(1).alias("copy"))))
-        up = F.when((F.col("key") == pick([e[2] for e in edges])) & (at < len(edges) - 1), F.array(F.struct(F.get(parts, at + 1).alias("p"), F.lit(1).alias("copy"))))
-        none = F.array().cast("array<struct<p:int,copy:int>>")
-        to = F.concat(to, F.coalesce(down, none), F.coalesce(up, none))
-    dealt = dealt.withColumn("_c", F.explode(to)).select(F.col("_c.p").alias("p"), F.col("_c.copy").alias("copy"), "key", "id", "url", "html")
-    dealt = dealt.repartition(parts_of(spark), "p").sortWithinPartitions("p", "key", "html")
-    names = ["id", "url", "text"]
+    dealt = dealt.withColumn("copy", F.lit(0))
+    if len(edges) > 1:
+        sent = dealt.join(F.broadcast(_neighbours(dealt, edges)), "key").withColumn("copy", F.lit(1)).withColumn("_part", F.col("p")).drop("p")  # bounded: a few rows a range
+        dealt = dealt.unionByName(sent)
+    dealt = dealt.withColumnRenamed("_part", "p").repartition(parts_of(spark), "p").sortWithinPartitions("p", "key", "html")
+    names = ["id", "url", "text", "aligned_lines", "marked_lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter()
-        prev = here = None  # (part, copy, host, path, id, url, blocks)
-
-        def done(nxt: tuple | None) -> tuple | None:
-            if here is None or here[1]:
-                return None
-            best, size = None, -1
-            for x in (prev, nxt):
-                if x and x[0] == here[0] and x[2] == here[2] and (n := _prefix(x[3], here[3])) > size:
-                    best, size = x[6], n
-            return here[4], here[5], "\n".join(main_lines(here[6], best))
-
         types = None
+        now: Run | None = None
         for b in (some for batch in batches for some in sliced(batch)):
-            types = types or [b.schema.field(3).type, b.schema.field(4).type, pa.string()]
-            out = []
+            types = types or [b.schema.field(3).type, b.schema.field(4).type, pa.string(), pa.int64(), pa.int64()]
+            out: list[tuple] = []
             for p, copy, k, i, u, h in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 host, path, _ = k.split("\x01")[:3]
-                nxt = (p, copy, host, path, i, u, blocks(h))
-                if (row := done(nxt)) is not None:
-                    out.append(row)
-                prev, here = here, nxt
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        if types and (row := done(None)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names)
-
-    return dealt.select("p", "copy", "key", "id", "url", "html").mapInArrow(run, f"id {kind}, url string, text string").withColumnRenamed("id", ident)
+                found = blocks(h)
+                lines = [t for t, _, _ in found]
+                if now is None or (now.part, now.host) != (p, host):
+                    if now:
+                        out += now.done(None)
+                    now = Run(p, host, lines, None)
+                elif now.lines != lines:
+                    out += now.done((path, found))
+                    now = Run(p, host, lines, (now.path, now.blocks))
+                now.add(copy, i, u, path, found)
+            for at in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1000], strict=True), types, strict=True)], names)
+        if now:
+            out = list(now.done(None))
+            for at in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1000], strict=True), types, strict=True)], names)
+
+    return dealt.select("p", "copy", "key", "id", "url", "html").mapInArrow(run, f"id {kind}, url string, text string, aligned_lines long, marked_lines long").withColumnRenamed("id", ident)
