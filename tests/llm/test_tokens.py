@@ -148,12 +148,12 @@ def test_null_ids_and_empty_tables(spark):
 def test_pieces_equal_the_library_and_cover_the_text():
     m = pieces.PieceModel("piece_bpe_32k.model")
     for t in texts(1500) + ["▁ a", "\x00x", "</s> <s>", "\n\n a"]:
-        ids = m.encode_many([t])[0]
-        assert ids == m.library.encode(t)
-        spans, raw = m.spans(t, ids), t.encode()
-        if ids:
+        ids, spans = m.encode(t)
+        assert ids.tolist() == m.library.encode(t)
+        raw = t.encode()
+        if len(ids):
             assert spans[0, 0] == 0 and spans[-1, 1] == len(raw) and (spans[1:, 0] == spans[:-1, 1]).all()
-            for k, (a, b) in zip(ids, spans, strict=True):
+            for k, (a, b) in zip(ids.tolist(), spans, strict=True):
                 if not m.library.is_byte(k):
                     assert m.library.id_to_piece(k).encode() in ("▁".encode() + raw[a:b].replace(b" ", "▁".encode()), raw[a:b].replace(b" ", "▁".encode()))
 
@@ -192,3 +192,24 @@ def test_long_texts_are_cut_where_pre_tokens_begin(monkeypatch):
         usual = "".join(c for c in some if not tokens.unusual()(c))
         for t in (some, usual, "it's 'street ''s ,'s 's's x'RE J̌ Å " * 40):
             assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_every_text_goes_through_the_compiled_map(squeeze, tmp_path):
+    """With another map the same path gives the library's ids, and spans that cover the text."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto, rules = pb.ModelProto(), pb.ModelProto()
+    proto.ParseFromString(open(tokens.path_of("piece_bpe_32k.model"), "rb").read())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    m = pieces.PieceModel(str(path))
+    assert m.normalize.starts.any() and not pieces.PieceModel("piece_bpe_32k.model").normalize.starts.any()
+    for t in texts(600) + ["ﬁ① ＡＢ　ｶﾞ  x ", "㍿  ½", "  a", "á "]:
+        ids, spans = m.encode(t)
+        assert ids.tolist() == m.library.encode(t), ascii(t)
+        assert (spans[:, 0] <= spans[:, 1]).all() and (spans[1:, 0] >= spans[:-1, 0]).all()

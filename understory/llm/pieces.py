@@ -31,6 +31,13 @@ class CharacterMap:
             self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
             self.texts = blob[4 + size :]
 
+    def begins(self, byte: int) -> bool:
+        """Whether an entry begins with the byte."""
+        if not self.units:
+            return False
+        node = ((self.units[0] >> 10) << ((self.units[0] & (1 << 9)) >> 6)) ^ byte
+        return node < len(self.units) and self.units[node] & ((1 << 31) | 0xFF) == byte
+
     def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest prefix of ``raw[at:]`` in the map, and its replacement."""
         if not self.units:
@@ -55,58 +62,70 @@ class CharacterMap:
 
 
 class Normalizer:
-    """The library's normalisation with, for every normalised byte and for the end, its original byte."""
+    """The library's normalisation with, for every normalised byte and for the end, its original byte.
+
+    The map is walked wherever a byte stands with which an entry begins; what lies between stands for itself and is moved as a whole.
+    """
 
     def __init__(self, spec):
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
+        self.starts = np.array([self.map.begins(b) for b in range(256)])
 
     def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
         raw = text.encode("utf-8")
-        out, begin, at, n = bytearray(), [], 0, len(raw)
-        space = SPACE.encode() if self.escape else b" "
-
-        def put(b: bytes, origin: int) -> None:
-            out.extend(b)
-            begin.extend([origin] * len(b))
-
-        def step(at: int) -> tuple[int, bytes]:
-            if found := self.map.longest(raw, at):
-                return found
-            lead = raw[at]
-            size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            return size, raw[at : at + size]
-
-        if self.squeeze:
-            while at < n and (got := step(at))[1] == b" ":
-                at += got[0]
-        if at >= n:
-            return b"", np.array([n])
-        if self.prefix:
-            put(space, at)
-        spaced = self.squeeze
-        while at < n:
-            size, piece = step(at)
+        x, n = np.frombuffer(raw, np.uint8), len(raw)
+        out, origins = [], []
+        spaced, lead, at = self.squeeze, None, 0
+
+        def between(end: int) -> None:
+            nonlocal spaced, lead
+            some, where = x[at:end], np.arange(at, end)
+            if self.squeeze and len(some):
+                blank = some == 0x20
+                keep = ~(blank & np.concatenate([[spaced], blank[:-1]]))
+                if lead is None and not blank.all():
+                    lead = at + int(np.argmin(blank))
+                spaced, some, where = bool(blank[-1]), some[keep], where[keep]
+            elif lead is None and len(some):
+                lead = at
+            out.append(some)
+            origins.append(where)
+
+        for k in np.flatnonzero(self.starts[x]).tolist():
+            if k < at or not (found := self.map.longest(raw, k)):
+                continue
+            between(k)
+            size, piece = found
+            if lead is None and not (self.squeeze and piece == b" "):
+                lead = k
             if self.squeeze and spaced:
                 piece = piece.lstrip(b" ")
             if piece:
-                for k, ch in enumerate(piece):
-                    put(space if ch == 0x20 else piece[k : k + 1], at)
-                spaced = piece.endswith(b" ")
-            at += size
-            if not self.squeeze:
-                spaced = False
-        end = n
+                spaced = self.squeeze and piece.endswith(b" ")
+            out.append(np.frombuffer(piece, np.uint8))
+            origins.append(np.full(len(piece), k))
+            at = k + size
+        between(n)
+        if lead is None:
+            return b"", np.array([n])
+        if self.prefix:
+            out.insert(0, np.array([0x20], np.uint8))
+            origins.insert(0, np.array([lead]))
+        normal, begin, end = np.concatenate(out), np.concatenate(origins), n
         if self.squeeze:
-            while out.endswith(space):
-                end = begin[len(out) - len(space)]
-                del out[-len(space) :], begin[-len(space) :]
-        begin.append(end)
-        return bytes(out), np.array(begin)
+            stay = len(normal) - len(normal.tobytes().rstrip(b" "))
+            if stay:
+                end = int(begin[-stay])
+                normal, begin = normal[:-stay], begin[:-stay]
+        if self.escape:
+            begin = np.repeat(begin, np.where(normal == 0x20, len(SPACE.encode()), 1))
+        whole = normal.tobytes()
+        return whole.replace(b" ", SPACE.encode()) if self.escape else whole, np.append(begin, end)
 
 
 class PieceModel:
-    """A SentencePiece model file. Ids equal the library's ``encode``."""
+    """A SentencePiece model file. Ids equal the library's ``encode``: texts are normalised here, and the library cuts what comes out by a copy of the model without normalisation."""
 
     def __init__(self, name_or_path: str):
         import sentencepiece
@@ -119,41 +138,33 @@ class PieceModel:
         self.normalize = Normalizer(proto.normalizer_spec)
         self.bytes = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces])
         self.unknown = {k for k, p in enumerate(proto.pieces) if p.type == 2}
-        s, t = proto.normalizer_spec, proto.trainer_spec
-        #: The normalised text is the text itself but for spaces, and pieces hold one letter at least: spans follow from widths alone.
-        self.plain = (
-            t.byte_fallback and not s.precompiled_charsmap and s.add_dummy_prefix and s.escape_whitespaces
-            and not s.remove_extra_whitespaces and not t.treat_whitespace_as_suffix
-        )
         self.decimal = [str(k) for k in range(len(proto.pieces))]
-
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts."""
-        return self.library.encode(texts, num_threads=1) if texts else []
+        spec = proto.normalizer_spec
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+        spec.precompiled_charsmap = b""
+        self.cutter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a whole text, and (n, 2) begin and end of each piece in its UTF-8 bytes; the added first space is an empty span."""
+        normal, begin = self.normalize(text)
+        ids = np.array(self.cutter.encode(normal.decode()), np.int64)
+        if not len(ids):
+            return ids, np.empty((0, 2), np.int64)
+        ends = np.cumsum(self._widths(normal, ids))
+        edges = np.concatenate([[begin[0]], begin[np.minimum(ends, len(begin) - 1)]])
+        return ids, np.stack([edges[:-1], edges[1:]], axis=1)
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
-        """(n, 2) begin and end of each piece in the original text's UTF-8 bytes; the added first space is an empty span."""
-        if not len(ids):
-            return np.empty((0, 2), np.int64)
-        if self.plain:  # the identity but for spaces
-            raw = np.frombuffer(text.encode(), np.uint8)
-            begin = np.concatenate([[0, 0, 0], np.repeat(np.arange(len(raw)), np.where(raw == 0x20, 3, 1)), [len(raw)]])
-            ends = np.cumsum(self.bytes[ids])
-        else:
-            normal, begin = self.normalize(text)
-            ends = np.cumsum(self._widths(normal, ids))
-        edges = np.concatenate([[begin[0]], begin[np.minimum(ends, len(begin) - 1)]])
-        return np.stack([edges[:-1], edges[1:]], axis=1)
-
-    def _widths(self, normal: bytes, ids: np.ndarray) -> list[int]:
+    def _widths(self, normal: bytes, ids: np.ndarray) -> np.ndarray | list[int]:
         """Normalised bytes of each piece; an unknown piece is the run of letters up to where the next piece matches."""
+        if not self.unknown.intersection(ids.tolist()):
+            return self.bytes[ids]
         out, at = [], 0
         for k, i in enumerate(ids):
             if i in self.unknown:
-                nxt = next((self.library.id_to_piece(j).encode() for j in ids[k + 1 :]), None)
+                nxt = next((self.library.id_to_piece(int(j)).encode() for j in ids[k + 1 :]), None)
                 end = normal.index(nxt, at + 1) if nxt else len(normal)
                 out.append(end - at)
             else:
@@ -174,10 +185,9 @@ def encoded(docs: DataFrame, model: str = "piece_bpe_32k.model", ident: str = "d
     def start(m: PieceModel):
         def one(b: pa.RecordBatch) -> dict:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            ids = m.encode_many(texts)
-            spans = [m.spans(t, i) for t, i in zip(texts, ids, strict=True)]
+            ids, spans = zip(*map(m.encode, texts), strict=True) if texts else ((), ())
             lists = pa.list_(pa.int32())
-            return {"id": b.column(0), "ids": pa.array(ids, lists), "begins": pa.array([s[:, 0].astype(np.int32) for s in spans], lists), "ends": pa.array([s[:, 1].astype(np.int32) for s in spans], lists)}
+            return {"id": b.column(0), "ids": pa.array([i.astype(np.int32) for i in ids], lists), "begins": pa.array([s[:, 0].astype(np.int32) for s in spans], lists), "ends": pa.array([s[:, 1].astype(np.int32) for s in spans], lists)}
 
         return one
 
@@ -192,8 +202,9 @@ def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", ident: str =
         def one(b: pa.RecordBatch) -> dict:
             n, ids_h, text_h, covered = [], [], [], []
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for t, ids in ((t, m.encode_many([t])[0]) for t in texts):  # one text's ids at a time
-                spans = m.spans(t, ids)
+            for t in texts:  # one text's ids at a time
+                ids, spans = m.encode(t)
+                ids = ids.tolist()
                 n.append(len(ids))
                 ids_h.append(hashlib.sha256(",".join(map(m.decimal.__getitem__, ids)).encode()).hexdigest())
                 text_h.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
