@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,9 +27,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a temporary one, if driver and executors are one process."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="understory-"))
         own = _OWN[0]
@@ -112,9 +115,21 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Rec
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (got[n] for n in names)], names)
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+#: Rows of an Arrow batch, so that what lies between the JVM and Python follows a few hundred texts.
+BATCH = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches; results don't depend on them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def parts_of(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * factor
 
@@ -258,17 +273,18 @@ def _fold_local(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over undirected links (u, v), for each node that has a link.
 
     Alternating large-star and small-star steps until the stars are stable. Each round is written to the shared
     folder, so lineage stays short and a lost executor costs one round at most. Minima are combined before
-    the shuffle; a node of very many links is split by the adaptive skew join.
+    the shuffle; a node of very many links is split by the adaptive skew join. The steps end when nothing changes, after
+    a number of rounds that grows with the logarithm of the nodes. Delete the frame's files with ``discard``.
     """
     spark = edges.sparkSession
     now = stored(_fold_local(edges.where("u <> v").select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "links")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
@@ -282,6 +298,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == mark or not got.n:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    out = now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    out._stored_at = now._stored_at
+    return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import enter, parts_of, range_dealt, sliced
+from understory.llm.common import enter, parts_of, range_dealt, sliced, small_batches
 
 BUCKETS = 256
 #: Difference at which two digests count as unlike; scores beyond are cut there.
@@ -121,4 +121,5 @@ def fingerprinted(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    small_batches(spark)
     return dealt.select("p", "copy", "id", "t").mapInArrow(run, schema).withColumnRenamed("id", ident)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import enter, parts_of, range_dealt, sliced
+from understory.llm.common import enter, parts_of, range_dealt, sliced, small_batches
 
 # ---------------------------------------------------------------- blocks of a page
 
@@ -386,4 +386,5 @@ def extracted(pages: DataFrame, ident: str = "page_id", url: str = "url", page:
             for at in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1000], strict=True), types, strict=True)], names)
 
+    small_batches(spark)
     return dealt.select("p", "copy", "key", "id", "url", "html").mapInArrow(run, f"id {kind}, url string, text string, aligned_lines long, marked_lines long").withColumnRenamed("id", ident)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import enter, give_back, sliced, worker_state
+from understory.llm.common import enter, give_back, sliced, small_batches, worker_state
 from understory.llm.tokens import TextTokenizer, kept
 
 CAPACITY = 4096
@@ -148,6 +148,7 @@ def harmonic_pack(ids: DataFrame, capacity: int = CAPACITY, least: int = LEAST)
             every = (some for batch in _chained(first, batches) for some in sliced(batch))
             yield from _packed(((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in every), first.schema.field(0).type, names, capacity, least)
 
+    small_batches(ids.sparkSession)
     return ids.select("doc_id", "ids").mapInArrow(run, schema)
 
 
@@ -171,6 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id
             yield from _packed(ids, first.schema.field(0).type, names, capacity, least)
         give_back()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from understory.llm.common import enter, fresh_path, parts_of, range_dealt, sliced
+from understory.llm.common import enter, fresh_path, parts_of, range_dealt, sliced, small_batches
 from understory.llm.tokens import tokenizer
 
 MAGIC = 0x31465055
@@ -175,6 +175,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json"
         if held:
             yield flush()
 
+    small_batches(spark)
     files = dealt.select("_part", "doc_id", "text").mapInArrow(run, f"part int, before long, n_ids long, doc_ids array<{kind}>, lengths array<long>, payload binary")
     files.write.parquet(path)
     return path
