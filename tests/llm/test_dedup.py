@@ -105,6 +105,30 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert all(x.kept == (x.vec_id == x.component_id) for x in embedding_dedup.near_vectors(df).collect())
 
 
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    e = np.eye(8)
+    near = lambda k: (e[k] + 0.1 * e[7]).tolist()
+    rows = [(1, e[1].tolist(), 0), (1, e[2].tolist(), 0), (2, near(1), 0), (3, near(2), 0), (9, e[3].tolist(), 0), (9, e[3].tolist(), 0), (8, near(3), 0)]
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in embedding_dedup.near_vectors(spark.createDataFrame([(*x, 1, 2) for x in rows], VECS)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (8, 2, 8), (9, 2, 8), (9, 2, 8)]
+
+
+def test_recall_of_the_whole_operator_near_the_threshold(spark):
+    """Planted pairs of cosine 0.93 to 0.95 among unlike vectors, against all pairs."""
+    r = np.random.default_rng(14)
+    a = r.standard_normal((700, 32))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = r.standard_normal((700, 32))
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = r.uniform(0.931, 0.95, 700)[:, None]
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b]).astype(np.float32)
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(k, v.tolist(), 0, 1, 2) for k, v in enumerate(x)], VECS)).collect()
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = int((y @ y.T >= 0.93).sum()) - len(y)
+    assert want >= 1400 and 0.985 * want <= sum(g.n_links for g in got) <= want
+
+
 def test_recall_near_the_threshold():
     r = np.random.default_rng(4)
     a = r.standard_normal((4000, 64))

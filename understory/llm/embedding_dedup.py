@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import block_pairs, components, enter, forest, grouped_batches, map_batches, stored
+from understory.llm.common import block_pairs, components, discard, enter, forest, grouped_batches, map_batches, parts_of, stored
 
 THRESHOLD = 0.93
 TABLES = 32
@@ -31,14 +31,14 @@ def _directions(dim: int, tables: int, hashes: int, seed: int) -> tuple[np.ndarr
 
 
 def table_keys(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = SEED) -> np.ndarray:
-    """(n, tables) 64-bit keys of unit vectors."""
+    """(n, tables) 32-bit keys of unit vectors. Unlike cells of one key only add candidates."""
     a, b, mix = _directions(unit.shape[1], tables, hashes, seed)
     cell = np.floor(unit @ a / width + b).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, hashes)
     h = np.zeros((len(unit), tables), np.uint64)
     for k in range(hashes):
         h = (h ^ cell[:, :, k]) * mix[:, k]
         h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _units(raw: pa.Array) -> np.ndarray:
@@ -56,12 +56,13 @@ def _links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows of buckets -> per member of a bucket with a link: its root there, and how many vectors it links with first there."""
         enter()
-        for t, at in grouped_batches(batches, ["key", "t", "label", "dim", "_i", "_j"]):
+        for t, at in grouped_batches(batches, ["b", "label", "dim", "_i", "_j"]):
             sizes = np.diff(at)
             if not (sizes > 1).any():
                 continue
             ids, roots, counts = [], [], []
-            block, lo, hi, tab, ident, many = (t.column(c).to_numpy() for c in ("_b", "_i", "_j", "t", "id", "m"))
+            block, lo, hi, ident, many = (t.column(c).to_numpy() for c in ("_b", "_i", "_j", "c", "m"))
+            tab = t.column("b").to_numpy() & 0xFF
             raw, keys = t.column("v").combine_chunks(), t.column("keys").combine_chunks()
             for s, n in zip(at[:-1].tolist(), sizes.tolist(), strict=True):
                 if n < 2:
@@ -72,7 +73,7 @@ def _links(threshold: float):
                 if not len(a) or not len(b):
                     continue
                 x = _units(raw.slice(s, n))
-                early = np.stack([np.frombuffer(k, "<i8") for k in keys.slice(s, n).to_pylist()])[:, : tab[s]]
+                early = np.stack([np.frombuffer(k, "<i4") for k in keys.slice(s, n).to_pylist()])[:, : tab[s]]
                 root, links, m = np.arange(n), np.zeros(n, np.int64), many[s : s + n]
                 for r in range(0, len(a), 256):
                     part = a[r : r + 256]
@@ -94,7 +95,7 @@ def _links(threshold: float):
                     roots.append(own[root[k]])
                     counts.append(links[k])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, roots, counts)], ["id", "root", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, roots, counts)], ["c", "root", "links"])
 
     return run
 
@@ -103,7 +104,7 @@ def near_vectors(df: DataFrame, ident: str = "vec_id", vector: str = "embedding"
     """(ident, n_links, component_id, kept), one row per row of ``df``.
 
     Vectors are compared when their labels are equal and not null and their lengths are equal. Equal vectors of a label are
-    one class that is compared once. A vector that is null, empty, zero or has null or non-finite parts, and a row
+    one class that is compared once; classes have numbers of their own, so rows of one id with unlike vectors stay apart, each with its own links. A vector that is null, empty, zero or has null or non-finite parts, and a row
     without id or label, links with nothing; its component is itself. Buckets of any size are dealt out as pairs of
     blocks, and every task returns sums and a spanning forest, never pairs.
     """
@@ -129,28 +130,34 @@ def near_vectors(df: DataFrame, ident: str = "vec_id", vector: str = "embedding"
             for d in np.unique(dims):
                 k = np.flatnonzero(dims == d)
                 keys[k] = table_keys(_units(pa.array([raw[i] for i in k], pa.binary())), tables, hashes, width)
-            return {"label": b.column(0), "id": b.column(2), "m": b.column(3), "h0": b.column(4), "h1": b.column(5), "dim": pa.array(dims, pa.int32()), "v": pa.array(raw, pa.binary()), "keys": pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary()), "hashed": pa.array(list(keys), pa.list_(pa.int64()))}
+            return {"label": b.column(0), "id": b.column(2), "m": b.column(3), "h0": b.column(4), "h1": b.column(5), "dim": pa.array(dims, pa.int32()), "v": pa.array(raw, pa.binary()), "keys": pa.array([k.astype("<i4").tobytes() for k in keys], pa.binary()), "hashed": pa.array(list(keys), pa.list_(pa.int32()))}
 
         return one
 
     lk = dict(rows.dtypes)["label"]
-    hashed = stored(map_batches(classes.select("label", "e", "id", "m", "h0", "h1"), f"label {lk}, id {kind}, m long, h0 long, h1 int, dim int, v binary, keys binary, hashed array<long>", start), "hashed")
-    spots = hashed.select("id", "label", "dim", F.posexplode("hashed").alias("t", "key"))
-    bucket = ["key", "t", "label", "dim"]
+    hashed = map_batches(classes.select("label", "e", "id", "m", "h0", "h1"), f"label {lk}, id {kind}, m long, h0 long, h1 int, dim int, v binary, keys binary, hashed array<int>", start)
+    # a class's number is fixed by what is written
+    hashed = stored(hashed.withColumn("c", F.monotonically_increasing_id()), "hashed")
+    # a bucket's name holds a hash of table, key, label and length, and the table in its last byte
+    name = F.xxhash64("key", "t", "label", "dim").bitwiseAND(F.lit(-256)).bitwiseOR(F.col("t").cast("long"))
+    spots = hashed.select("c", "label", "dim", F.posexplode("hashed").alias("t", "key")).select("c", name.alias("b"))
     # near vectors meet in many tables; of buckets with the same members only the first table's is compared
-    member = F.xxhash64("id"), F.xxhash64(F.concat(F.lit("m"), F.col("id").cast("string")))
-    multi = spots.groupBy(bucket).agg(F.count("*").alias("n"), *[F.bit_xor(m).alias(f"x{k}") for k, m in enumerate(member)]).where("n > 1")
-    multi = multi.groupBy("label", "dim", "n", "x0", "x1").agg(F.min(F.struct("t", "key")).alias("b")).select("b.key", "b.t", "label", "dim", "n")
-    shared = spots.join(multi, bucket)
-    dealt = block_pairs(shared.join(hashed.select("id", "label", "dim", "m", "v", "keys"), ["id", "label", "dim"]), "key", "n", "id")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [*bucket, "_i", "_j"]
-    dealt = dealt.select(*order, "_b", "id", "m", "v", "keys").repartition(parts, *order).sortWithinPartitions(*order)
-    found = stored(dealt.mapInArrow(_links(threshold), f"id {kind}, root {kind}, links long"), "found")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(found.where("id <> root").select(F.col("root").cast("long").alias("u"), F.col("id").cast("long").alias("v")))
-    whole = links.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    per_class = hashed.select("id", "label", "h0", "h1", "m").join(whole, "id", "left").select("label", "h0", "h1", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
+    member = F.xxhash64("c"), F.xxhash64("c", F.lit(1))
+    multi = spots.groupBy("b").agg(F.count("*").alias("n"), *[F.bit_xor(m).alias(f"x{k}") for k, m in enumerate(member)]).where("n > 1")
+    multi = multi.groupBy("n", "x0", "x1").agg(F.min_by("b", F.col("b").bitwiseAND(F.lit(0xFF))).alias("b")).select("b", "n")
+    shared = spots.join(multi, "b")
+    dealt = block_pairs(shared.join(hashed.select("c", "label", "dim", "m", "v", "keys"), "c"), "b", "n", "c")
+    order = ["b", "label", "dim", "_i", "_j"]
+    dealt = dealt.select(*order, "_b", "c", "m", "v", "keys").repartition(parts_of(df.sparkSession), *order).sortWithinPartitions(*order)
+    found = stored(dealt.mapInArrow(_links(threshold), "c long, root long, links long"), "found")
+    roots = components(found.where("c <> root").select(F.col("root").alias("u"), F.col("c").alias("v")))
+    linked = roots.join(hashed.select(F.col("c").alias("node"), "id"), "node")
+    least = linked.groupBy("root").agg(F.min("id").alias("component"))
+    whole = found.groupBy("c").agg(F.sum("links").alias("links")).join(linked.join(least, "root").select(F.col("node").alias("c"), "component"), "c", "left")
+    per_class = hashed.select("c", "id", "label", "h0", "h1", "m").join(whole, "c", "left").select("label", "h0", "h1", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("root"))
+    per_class = stored(per_class, "vectors")
+    for done in (hashed, found, roots):
+        discard(done)
     # rows find their class by 96 bits of hashes, so that vectors don't move again
     out = rows.select("id", "label", "ok", *[h.alias(f"h{k}") for k, h in enumerate(_hashes())]).join(per_class, ["label", "h0", "h1"], "left")
     mine = F.when(F.col("ok"), F.col("root")).otherwise(F.col("id")).cast(kind)
