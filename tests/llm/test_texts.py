@@ -262,7 +262,49 @@ def test_digest_likeness():
     assert digests.likeness(d, digests.digest(text)) == 1.0
     assert digests.likeness(d, digests.digest(text[:9000] + "x" + text[9001:])) > 0.9 > digests.likeness(d, digests.digest(other)) >= 0
     assert digests.digest(None) == digests.digest("") and digests.digest("a") != digests.digest("b")
-    assert (digests.counts(b"abcdefgh" * 100) == sum(digests.counts(b"abcdefgh" * 100)[k] * (np.arange(256) == k) for k in range(256))).all()
+
+
+def brute_digest(text):
+    """The digest from its definition, byte by byte."""
+    raw = text.encode()
+    bucket = [0] * 256
+    for at in range(len(raw) - 3):
+        for salt, (x, y, z) in enumerate([(0, 1, 2), (0, 1, 3), (0, 2, 3)]):
+            h = ((raw[at + x] << 16 | raw[at + y] << 8 | raw[at + z]) + (salt << 24)) * 0x9E3779B1 % 2**32
+            bucket[(h ^ h >> 15) * 0x85EBCA77 % 2**32 >> 24] += 1
+    q = [sorted(bucket)[k] for k in (63, 127, 191)]
+    bits = "".join(f"{sum(c > v for v in q):02b}" for c in bucket)
+    length = min(255, round(12 * math.log2(1 + len(raw))) % 256)
+    head = hashlib.blake2b(raw, digest_size=2).hexdigest() + f"{length:02x}" + f"{(q[0] * 16 // (q[2] + 1)) << 4 | q[1] * 16 // (q[2] + 1):02x}"
+    return head + f"{int(bits, 2):0128x}", bits, length, (q[0] * 16 // (q[2] + 1), q[1] * 16 // (q[2] + 1))
+
+
+def brute_likeness(a, b):
+    (da, xa, la, ra), (db, xb, lb, rb) = brute_digest(a), brute_digest(b)
+    if da == db:
+        return 1.0
+    score = int(da[:4] != db[:4])
+    for k in range(0, 512, 2):
+        d = abs(int(xa[k : k + 2], 2) - int(xb[k : k + 2], 2))
+        score += 6 if d == 3 else d
+    far = min((la - lb) % 256, (lb - la) % 256)
+    ratios = sum(abs(x - y) for x, y in zip(ra, rb))
+    score += (far if far <= 1 else 2 * far) + (ratios if ratios <= 1 else 4 * ratios)
+    return 1 - min(score, 512) / 512
+
+
+def test_fingerprints_equal_the_definition(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()} | {10**6: None, 10**6 + 1: "", 10**6 + 2: "abc", 10**6 + 3: "é" * 500}
+    order = sorted(rows, reverse=True)
+    got = {r.doc_id: r for r in digests.fingerprinted(spark.createDataFrame([(k, t, "en", 1, "t", "s") for k, t in rows.items()], DOCS)).collect()}
+    for k, i in enumerate(order):
+        t, nxt = rows[i] or "", rows[order[(k + 1) % len(order)]] or ""
+        half = len(t) // 2
+        changed = t[: len(t) - half] + nxt[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (brute_digest(t)[0], brute_digest(changed)[0])
+        assert (r.near_edited, r.near_next) == (brute_likeness(t, changed), brute_likeness(t, nxt))
 
 
 def test_counts_do_not_depend_on_runs(monkeypatch):

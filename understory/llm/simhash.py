@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import block_pairs, components, enter, forest, grouped_batches, map_batches, stored
+from understory.llm.common import block_pairs, components, discard, enter, forest, grouped_batches, map_batches, stored
 
 SEED = 42
 WORDS = 3
@@ -145,6 +145,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     found = components(near_links(classes.select("fp")))
     whole = found.join(classes, found.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(classes.join(found.join(whole, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").cast(kind).alias("component_id")), "classes")
+    discard(found)
     return own.join(of, "fp").select(ident, "fp", "component_id")
 
 
@@ -157,17 +158,26 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     stay = found.where(F.col(ident) == F.col("component_id")).select(F.col(ident).alias("_kept_id")).distinct()
     named = docs.where(F.col(ident).isNotNull())
     kept = named.join(stay, named[ident] == stay["_kept_id"], "left_semi")
-    seen = F.expr(f"row_number() over (partition by `{ident}`, xxhash64(`{text}`) order by `{ident}`)")
-    kept = kept.withColumn("_kept_seen", seen).where("_kept_seen = 1").drop("_kept_seen")
+    # repeated rows are found by hashes and combined before they move; most tables have none
+    again = named.groupBy(ident, F.xxhash64(text).alias("h")).agg(F.count("*").alias("n")).where("n > 1").select(F.col(ident).alias("_again")).distinct()
+    again = stored(again, "repeated")
+    if not again.isEmpty():
+        once = kept.join(again, kept[ident] == again["_again"], "left_anti")
+        first = named.join(again, named[ident] == again["_again"], "left_semi").join(stay, named[ident] == stay["_kept_id"], "left_semi")
+        kept = once.unionByName(first.withColumn("_kept_hash", F.xxhash64(text)).dropDuplicates([ident, "_kept_hash"]).drop("_kept_hash"))
+    free = docs.where(F.col(ident).isNull())
+    if free.isEmpty():
+        return kept
 
     @F.pandas_udf("long")
     def own(texts):
         import pandas as pd
 
+        enter()
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
     loose = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("_kept_id")).distinct()
-    free = docs.where(F.col(ident).isNull()).withColumn("_kept_fp", own(F.col(text).cast("string")))
+    free = free.withColumn("_kept_fp", own(F.col(text).cast("string")))
     free = free.join(loose, F.col("_kept_fp") == loose["_kept_id"], "left_semi")
-    free = free.withColumn("_kept_seen", F.expr(f"row_number() over (partition by _kept_fp order by `{text}`)")).where("_kept_seen = 1")
-    return kept.unionByName(free.select(docs.columns))
+    least = free.groupBy("_kept_fp").agg(F.min(F.struct(F.col(text).alias("_kept_text"), *docs.columns)).alias("r"))  # combined before they move
+    return kept.unionByName(least.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
