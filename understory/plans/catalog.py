@@ -278,7 +278,7 @@ def join_line_distance(spark, d):
     return got.select("id", F.round("distance", 4).alias("distance"))
 
 
-@query("""SELECT c.id, r.start AS value FROM (SELECT id, CAST(floor(x / 20) AS BIGINT) AS col, CAST(floor((900 - y) / 20) AS BIGINT) AS "row" FROM cells) c LEFT JOIN (SELECT * FROM raster WHERE tile = 1) r ON c.col = r.col AND c."row" = r."row" """, "cells", "raster")
+@query("""SELECT c.id, r.tile, r.start AS value FROM (SELECT id, CAST(floor(x / 20) AS BIGINT) AS col, CAST(floor((900 - y) / 20) AS BIGINT) AS "row" FROM cells) c LEFT JOIN raster r ON c.col = r.col AND c."row" = r."row" """, "cells", "raster")
 def join_raster_sample(spark, d):
     got = joins.sampled(view(spark, d, "cells"), view(spark, d, "raster"), 0, 900, 20, "start", ["tile"])
     return got.select("id", "tile", F.col("start").alias("value"))
@@ -588,7 +588,8 @@ def ras_shift_bilinear(spark, d):
     return rounded(raster.shifted(view(spark, d, "raster"), 4.0, 5.0, 10.0, ["tile"], "start"))
 
 
-@query("""SELECT r."row", r.col, CASE WHEN count(n.start) = 13 THEN round(r.start - avg(n.start), 4) END AS tpi FROM (SELECT * FROM raster WHERE tile = 1) r JOIN (SELECT * FROM raster WHERE tile = 1) n ON (n."row" - r."row") * (n."row" - r."row") + (n.col - r.col) * (n.col - r.col) <= 4 GROUP BY r."row", r.col, r.start""", "raster")
+@query("""SELECT r.tile, r."row", r.col, CASE WHEN count(n.start) = 13 THEN round(r.start - avg(n.start), 4) END AS tpi FROM raster r, (SELECT dr, dc FROM range(-2, 3) a(dr), range(-2, 3) b(dc) WHERE dr * dr + dc * dc <= 4) o
+    LEFT JOIN raster n ON n.tile = r.tile AND n."row" = r."row" + o.dr AND n.col = r.col + o.dc GROUP BY r.tile, r."row", r.col, r.start""", "raster")
 def ras_disk_difference(spark, d):
     return rounded(raster.disk_difference(view(spark, d, "raster"), 2, 32, "start", ["tile"]))
 
@@ -607,14 +608,18 @@ def ras_shift_estimate(spark, d):
 # ---------------------------------------------------------------- estimators and models
 
 
-@query("SELECT scale, n, round(mean, 4) AS mean, round(nmad, 4) AS nmad, round(sd, 4) AS sd, round(1.96 * nmad, 4) AS lod95, n >= 30 AND nmad > 0 AS admitted FROM (SELECT f * 10 AS scale, count(d) AS n, avg(d) AS mean, 1.4826 * mad(d) AS nmad, stddev_samp(d) AS sd FROM (SELECT f, CASE WHEN count(\"end\") >= 5e-1 * f * f AND count(start) >= 5e-1 * f * f THEN avg(\"end\") - avg(start) END AS d FROM raster, (VALUES (1), (2), (4)) s(f) GROUP BY tile, f, floor(\"row\" / f), floor(col / f)) WHERE d IS NOT NULL GROUP BY f)", "raster")
+@query("""SELECT scale, n, round(mean, 4) AS mean, round(nmad, 4) AS nmad, round(sd, 4) AS sd, round(1.96 * nmad, 4) AS lod95, admitted, round(-regr_slope(ln(nmad), 2 * ln(scale / 10)) FILTER (admitted) OVER (), 4) AS decay,
+    round(exp(regr_intercept(ln(nmad), 2 * ln(scale / 10)) FILTER (admitted) OVER ()), 4) AS base_sigma, round(regr_r2(ln(nmad), 2 * ln(scale / 10)) FILTER (admitted) OVER (), 4) AS decay_r2
+    FROM (SELECT *, n >= 30 AND nmad > 0 AS admitted FROM (SELECT f * 10 AS scale, count(d) AS n, avg(d) AS mean, 1.4826 * mad(d) AS nmad, stddev_samp(d) AS sd FROM (SELECT f, CASE WHEN count("end") >= 5e-1 * f * f AND count(start) >= 5e-1 * f * f THEN avg("end") - avg(start) END AS d FROM raster, (VALUES (1), (2), (4)) s(f) GROUP BY tile, f, floor("row" / f), floor(col / f)) WHERE d IS NOT NULL GROUP BY f))""", "raster")
 def sta_noise_table(spark, d):
     rungs = raster.ladder_difference(view(spark, d, "raster"), "start", "end", (1, 2, 4), 0.5, ["tile"]).where("difference is not null")
     got = stats.noise_table(rungs.select((F.col("factor") * 10).alias("scale"), F.col("difference").alias("delta")), 10, 30)
-    return rounded(got.drop("decay", "base_sigma", "decay_r2"))
+    return rounded(got)
 
 
-@query("SELECT CAST(floor(h / 20) AS BIGINT) AS bin, count(*) AS n, round(avg(h), 4) AS distance, round(avg(pow(a - b, 2)) / 2, 4) AS gamma FROM (SELECT sqrt(pow(p.col - q.col, 2) + pow(p.\"row\" - q.\"row\", 2)) * 10 AS h, p.start AS a, q.start AS b FROM raster p JOIN raster q ON p.tile = q.tile AND p.\"row\" // 8 = q.\"row\" // 8 AND p.col // 8 = q.col // 8 AND (p.\"row\" * 1000 + p.col) < (q.\"row\" * 1000 + q.col)) WHERE h > 0 AND h < 90 GROUP BY 1", "raster")
+@query("""SELECT CAST(floor(h / 20) AS BIGINT) AS bin, count(*) AS n, round(avg(h), 4) AS distance, round(avg(pow(a - b, 2)) / 2, 4) AS gamma FROM (
+    SELECT sqrt(o.dr * o.dr + o.dc * o.dc) * 10 AS h, p.start AS a, q.start AS b FROM raster p, (SELECT dr, dc FROM range(0, 9) a(dr), range(-8, 9) b(dc) WHERE (dr > 0 OR dc > 0) AND dr * dr + dc * dc < 81) o
+    JOIN raster q ON q.tile = p.tile AND q."row" = p."row" + o.dr AND q.col = p.col + o.dc) GROUP BY 1""", "raster")
 def sta_variogram(spark, d):
     pairs = stats.raster_pairs(view(spark, d, "raster"), 10, 90, ["tile"], "start")
     return rounded(stats.variogram(pairs, 20, 90))
