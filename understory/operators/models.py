@@ -41,6 +41,16 @@ def fold_prior(df: DataFrame, fold: str, folds: int, kind: str, group: str, star
     return out.withColumn("predicted", F.col(start) + F.when(own, F.col("_t")).otherwise(F.col("_b"))).drop("_f", "_n", "_t", "_b")
 
 
+def training_prior(df: DataFrame, fold: str, folds: int, kind: str, group: str, start: str, end: str, least: int) -> DataFrame:
+    """Every row once for each fold ``_f`` that trains on it, with ``_increment``: the median growth of its scope in that fold's training rows."""
+    rows = df.withColumn("_g", F.col(end) - F.col(start)).withColumn("_f", F.explode(F.array(*[F.lit(k) for k in range(folds)]))).where(F.col("_f") != F.col(fold))
+    by_type = rows.groupBy("_f", kind).agg(F.count("*").alias("_n"), F.percentile("_g", 0.5).alias("_t"))
+    by_group = rows.groupBy("_f", group).agg(F.percentile("_g", 0.5).alias("_b"))
+    own = (F.col("_n") >= least) & ~F.col(kind).startswith("group:")
+    out = rows.join(by_type, ["_f", kind]).join(by_group, ["_f", group])
+    return out.withColumn("_increment", F.when(own, F.col("_t")).otherwise(F.col("_b"))).drop("_n", "_t", "_b", "_g")
+
+
 def class_ceilings(df: DataFrame, kind: str, start: str, end: str, literature: Mapping[str, float], mode: str = "literature") -> dict[str, float]:
     """Ceiling height of each class: as published, as recorded (99.5th percentile), or the greater of both."""
     if mode == "literature":

@@ -47,14 +47,14 @@ def _normal_quantile(p: float) -> float:
 
 
 def bca_interval(observed: float, reps: np.ndarray, jackknife: np.ndarray, confidence: float = 0.95) -> tuple[float, float]:
-    """Bias-corrected accelerated interval; the percentile interval where the correction isn't defined."""
+    """Bias-corrected accelerated interval. The bias is the share of replicates strictly below; the percentile interval where that is none or all, no acceleration where the jackknife doesn't spread."""
     tail = (1 - confidence) / 2
-    below = float((reps < observed).mean() + (reps == observed).mean() / 2)
+    below = float((reps < observed).mean())
+    if not 0 < below < 1:
+        return tuple(float(v) for v in np.quantile(reps, [tail, 1 - tail]))
     spread = jackknife.mean() - jackknife
     cube, square = float((spread**3).sum()), float((spread**2).sum())
-    if not 0 < below < 1 or square == 0:
-        return tuple(float(v) for v in np.quantile(reps, [tail, 1 - tail]))
-    z0, acc = _normal_quantile(below), cube / (6 * square**1.5)
+    z0, acc = _normal_quantile(below), cube / (6 * square**1.5) if square else 0.0
     out = []
     for p in (tail, 1 - tail):
         z = z0 + _normal_quantile(p)
@@ -188,6 +188,26 @@ def gate(rows: Sequence[dict], limits: dict[str, float]) -> dict[str, bool]:
     }
 
 
+def noise_gate(rows: Sequence[dict], shift: dict, limits: dict[str, float], base: float) -> dict:
+    """The calibration gate on a noise table's admitted scales and the pair's shift (magnitude, converged).
+
+    The mean change at the finest scale lies between minus its detection limit and ``max_mean``; noise rises from a scale to the next by no more than twice
+    the combined relative standard error (1 / sqrt(2 n) each); the alignment converged, under ``max_shift``; noise at ``reference_scale`` is known, measured
+    or from the decay, and under ``max_reference``.
+    """
+    ok = sorted((r for r in rows if r["admitted"]), key=lambda r: r["scale"])
+    if not ok:
+        raise ValueError("no scale is admitted")
+    error = [1 / math.sqrt(2 * r["n"]) for r in ok]
+    falls = all(b["nmad"] <= a["nmad"] * (1 + 2 * math.hypot(error[k], error[k + 1])) for k, (a, b) in enumerate(zip(ok, ok[1:], strict=False)))
+    spread, source = reference_spread(rows, limits["reference_scale"], base)
+    checks = {
+        "mean_in_range": -ok[0]["lod95"] <= ok[0]["mean"] <= limits["max_mean"], "noise_falls_with_scale": falls, "alignment_converged": bool(shift["converged"]), "shift_below_limit": shift["magnitude"] < limits["max_shift"],
+        "reference_noise_below_limit": spread < limits["max_reference"], "reference_noise_available": math.isfinite(spread),
+    }
+    return {"checks": checks, "passed": all(checks.values()), "admitted_scales": [r["scale"] for r in ok], "reference_noise": spread, "reference_source": source}
+
+
 def reference_spread(rows: Sequence[dict], scale: float, base: float) -> tuple[float, str]:
     """Noise at a scale: measured where that scale is admitted, else from the decay over three admitted scales at least."""
     ok = [r for r in rows if r["admitted"]]

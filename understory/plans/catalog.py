@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from understory.functions import maths, text
-from understory.operators import aggregates, filters, joins, models, raster, sampling, sets, stats, windows
-from understory.plans import jobs
+from understory.functions import maths, projection, text
+from understory.operators import aggregates, filters, geometry, joins, models, raster, sampling, sets, stats, surfaces, windows
+from understory.plans import jobs, planning
 from understory.plans.fixtures import oracle, view
 from understory.sources import catalogues, files
 from understory.streaming import climate
@@ -746,3 +746,68 @@ def job_sensitivity(spark, d):
 def ml_fold_curves(spark, d):
     c = growth(spark, d).where("s > 0").select("id", "fold", F.col("kind").alias("type"), "grp", "s", maths.chapman_richards(F.col("s"), F.lit(9.0), F.lit(120.0), F.lit(0.03), F.lit(1.8)).alias("e"))
     return models.fold_curves(c, "fold", 5, "type", "grp", "s", "e", 9.0, {"BUILDING": 120.0, "FURNITURE": 120.0}, 50).select("id", F.round("predicted", 2).alias("predicted"))
+
+
+# ---------------------------------------------------------------- frames, plans and surfaces
+
+ZONE = projection.frame(32610)
+T_SQL = f"sinh(atanh(sin(p)) - {ZONE.e!r} * atanh({ZONE.e!r} * sin(p)))"
+XI = " + ".join(["eta", *[f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(ZONE.alpha, 1)]])
+ETA = " + ".join(["xi", *[f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(ZONE.alpha, 1)]])
+
+
+@query(f"""SELECT id, round(500000 + {ZONE.k0 * ZONE.rectifying!r} * ({XI}), 3) AS x, round({ZONE.k0 * ZONE.rectifying!r} * ({ETA}), 3) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat FROM (
+    SELECT *, atan2(t, cos(dl)) AS xi, asinh(sin(dl) / sqrt(t * t + cos(dl) * cos(dl))) AS eta FROM (SELECT *, {T_SQL} AS t FROM (SELECT id, lon, lat, radians(lat) AS p, radians(lon + 123) AS dl FROM segments)))""", "segments")
+def geo_projection(spark, d):
+    """Points into a zone of the transverse Mercator; the way back must give the degrees they came from."""
+    there = projection.placed(view(spark, d, "segments").select("id", "lon", "lat"), ZONE, "lon", "lat", ("x", "y")).select("id", "x", "y")
+    back = projection.placed(there, ZONE, "x", "y", ("lon", "lat"), inverse=True)
+    return back.select("id", *[F.round(c, n).alias(c) for c, n in (("x", 3), ("y", 3), ("lon", 8), ("lat", 8))])
+
+
+@query("SELECT id, floor(x0 / 10) * 10 AS origin_x, floor(y0 / 10) * 10 AS origin_y, CAST(ceil((x1 - floor(x0 / 10) * 10) / 10) * 5 AS BIGINT) AS width, CAST(ceil((y1 - floor(y0 / 10) * 10) / 10) * 5 AS BIGINT) AS height FROM boxes", "boxes")
+def geo_grids(spark, d):
+    return geometry.grids(view(spark, d, "boxes"), 2.0, 10.0).select("id", "origin_x", "origin_y", "width", "height")
+
+
+def plan_tiles(spark, d):
+    k = F.col("s_suppkey") % 40
+    tiles = table(spark, d, "supplier").select(k.cast("long").alias("tile"), (k % 8 * 12.0).alias("x0"), (F.floor(k / 8) * 18.0).cast("double").alias("y0")).distinct()
+    return tiles.withColumns({"x1": F.col("x0") + 12, "y1": F.col("y0") + 18})
+
+
+@query("""WITH cells AS (SELECT t.tile, i * 3 + j AS k, x0 + j * 4 AS cx, y0 + i * 6 AS cy FROM (SELECT DISTINCT s_suppkey % 40 AS tile, s_suppkey % 40 % 8 * 12e0 AS x0, floor(s_suppkey % 40 / 8) * 18e0 AS y0 FROM supplier) t, range(3) a(i), range(3) b(j))
+    SELECT tile FROM (SELECT DISTINCT c.tile, c.k, b.o_custkey % 5 AS epoch FROM cells c JOIN orders b ON cx >= b.o_orderkey % 90 AND cy >= b.o_custkey % 90 AND cx + 4 <= b.o_orderkey % 90 + 2 + b.o_custkey % 13 AND cy + 6 <= b.o_custkey % 90 + 3 + b.o_orderkey % 11)
+    GROUP BY tile HAVING count(*) = 45""")
+def pln_covered_tiles(spark, d):
+    """Tiles that all five epochs supply in full, cell by cell."""
+    boxes = view(spark, d, "boxes").withColumn("epoch", F.col("epoch").cast("string"))
+    return planning.covered_tiles(plan_tiles(spark, d), boxes, ["0", "1", "2", "3", "4"], 3).select("tile")
+
+
+def cloud(spark, d):
+    """Points of four tiles with a place inside their cell."""
+    p = view(spark, d, "points")
+    x, y = F.col("col") + F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber"), F.lit(97)) / 97, F.lit(4000.0) - F.col("row") - F.pmod(F.col("l_partkey") * 13 + F.col("l_linenumber"), F.lit(89)) / 89
+    return p.select("tile", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), x.alias("x"), y.alias("y"), "z", "classification")
+
+
+@query()
+def srt_poisson_thinning(spark, d):
+    return surfaces.poisson_thinned(cloud(spark, d), 0.8, ["id"]).select("tile", "id")
+
+
+@query()
+def ras_heights_above_ground(spark, d):
+    got = surfaces.heights_above_ground(cloud(spark, d).withColumn("ground", F.col("classification") == 2))
+    return rounded(got.select("tile", "id", "height"))
+
+
+@query()
+def pln_forest_check(spark, d):
+    """The check after the gate, one row: the prior's and the baselines' errors."""
+    settings = {"folds": 5, "seed": 42, "min_fit_cells": 100, "block_sizes_m": [100], "primary_block_m": 100, "bootstrap_draws": 500}
+    rows = growth(spark, d).drop("block", "fold").withColumnsRenamed({"type": "model_group", "grp": "broader_group"})
+    got = planning.forest_check(rows, settings, start="s", end="e")
+    one = got["blocks"][100]
+    return spark.createDataFrame([(one["cells"], one["blocks"], round(one["candidate_mae"], 6), round(one["reference_mae"], 6), round(got["intercept_only"]["candidate_mae"], 6), round(got["type_mean"]["candidate_mae"], 6))], "cells long, blocks long, prior_mae double, no_change_mae double, intercept_mae double, type_mean_mae double")

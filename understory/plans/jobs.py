@@ -92,7 +92,7 @@ def aligned(cells: DataFrame, cell_m: float, keys: Sequence[str] = ("tile",), ro
 
     Each round is one pass of windows, one resampling and one row of sums; only those sums reach the driver.
     """
-    total = {"dx": 0.0, "dy": 0.0, "dz": 0.0}
+    total, converged = {"dx": 0.0, "dy": 0.0, "dz": 0.0}, False
     graded = windows.slope_aspect(cells, "start", cell_m, keys).select(*keys, "row", "col", "start", "end", "slope_deg", "aspect_deg")
     for k in range(rounds):
         moved = raster.shifted(graded.select(*keys, "row", "col", F.col("end").alias("value")), total["dx"], total["dy"], cell_m, keys)
@@ -102,8 +102,9 @@ def aligned(cells: DataFrame, cell_m: float, keys: Sequence[str] = ("tile",), ro
             break
         total = {"dx": total["dx"] + step["dx"], "dy": total["dy"] + step["dy"], "dz": total["dz"] + step["dz"]}
         if max(abs(step["dx"]), abs(step["dy"])) < tolerance_m:
+            converged = True
             break
-    return total | {"rounds": k + 1, "magnitude": (total["dx"] ** 2 + total["dy"] ** 2) ** 0.5}
+    return total | {"converged": converged, "rounds": k + 1, "magnitude": (total["dx"] ** 2 + total["dy"] ** 2) ** 0.5}
 
 
 def folded(df: DataFrame, block_m: float, folds: int, seed: int = 42) -> DataFrame:

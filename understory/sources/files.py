@@ -84,11 +84,16 @@ def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...], skipped:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the folder that driver and executors share; a temporary one only where ``spark.checkpoint.dir`` is unset."""
+    """A fresh path in the folder that driver and executors share; a temporary one only where ``spark.checkpoint.dir`` is unset and they are one process."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="understory-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="understory-")
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
