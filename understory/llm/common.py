@@ -134,6 +134,18 @@ def parts_of(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * factor
 
 
+#: Bytes of input that a task of a range deal takes, about; and the most ranges, whose bounds are literals of a plan.
+TASK_BYTES = 256 << 20
+MOST_RANGES = 16_384
+
+
+def range_tasks(df: DataFrame) -> int:
+    """Tasks to deal a whole table to by ranges: as many as the session shuffles to, or more where its input is large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = size if size < 1 << 60 else 0  # unknown sizes are reported as huge
+    return max(parts_of(df.sparkSession), min(MOST_RANGES // 4, -(-files // TASK_BYTES)))
+
+
 # ---------------------------------------------------------------- order over the whole table
 
 

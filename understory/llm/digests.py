@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import enter, parts_of, range_dealt, sliced, small_batches
+from understory.llm.common import enter, range_dealt, range_tasks, sliced, small_batches
 
 BUCKETS = 256
 #: Difference at which two digests count as unlike; scores beyond are cut there.
@@ -84,7 +84,8 @@ def fingerprinted(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[ident]
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("o", -F.col("id").cast("long"))
-    dealt, edges = range_dealt(rows, "o", parts_of(spark, 4))
+    tasks = range_tasks(docs)
+    dealt, edges = range_dealt(rows, "o", 4 * tasks)
     before = {edges[k][0]: edges[k - 1][0] for k in range(len(edges))}  # the first range's head closes the ring
     heads = [(part, lo) for part, lo, _, _ in edges]
     is_head = F.lit(False)
@@ -95,7 +96,7 @@ def fingerprinted(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
         is_head = F.col("o").eqNullSafe(least)
         copies = F.when(is_head, F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("copy")), F.struct(to.alias("p"), F.lit(1).alias("copy")))).otherwise(copies)
     dealt = dealt.withColumn("_c", F.explode(copies)).select(F.col("_c.p").alias("p"), F.col("_c.copy").alias("copy"), "o", "id", "t")
-    dealt = dealt.repartition(parts_of(spark), "p").sortWithinPartitions("p", "copy", F.col("o").asc_nulls_last(), "t")
+    dealt = dealt.repartition(tasks, "p").sortWithinPartitions("p", "copy", F.col("o").asc_nulls_last(), "t")
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import enter, parts_of, range_dealt, sliced, small_batches
+from understory.llm.common import enter, range_dealt, range_tasks, sliced, small_batches
 
 # ---------------------------------------------------------------- blocks of a page
 
@@ -352,12 +352,13 @@ def extracted(pages: DataFrame, ident: str = "page_id", url: str = "url", page:
     kind = dict(pages.dtypes)[ident]
     key = F.concat(url_key(F.col(url)), F.lit("\x01"), F.coalesce(F.lpad(F.col(ident).cast("string"), 20, "0"), F.lit("~")))
     rows = pages.select(F.col(ident).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"), key.alias("key"))
-    dealt, edges = range_dealt(rows, "key", parts_of(spark, 4))
+    tasks = range_tasks(pages)
+    dealt, edges = range_dealt(rows, "key", 4 * tasks)
     dealt = dealt.withColumn("copy", F.lit(0))
     if len(edges) > 1:
         sent = dealt.join(F.broadcast(_neighbours(dealt, edges)), "key").withColumn("copy", F.lit(1)).withColumn("_part", F.col("p")).drop("p")  # bounded: a few rows a range
         dealt = dealt.unionByName(sent)
-    dealt = dealt.withColumnRenamed("_part", "p").repartition(parts_of(spark), "p").sortWithinPartitions("p", "key", "html")
+    dealt = dealt.withColumnRenamed("_part", "p").repartition(tasks, "p").sortWithinPartitions("p", "key", "html")
     names = ["id", "url", "text", "aligned_lines", "marked_lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,14 +64,14 @@ TABLES = [(i, skip, sum(0xFF << (8 * (7 - s)) for s in range(5) if s != skip)) f
 
 
 def bucket_keys(fps: DataFrame) -> DataFrame:
-    """(fp) -> (key, fp), 24 rows each; the table's number is in the key's lowest byte."""
+    """(fp, ...) -> (key, fp, ...), 24 rows each; the table's number is in the key's lowest byte."""
 
     def key(i: int, t: int, mask: int):
         x = F.col("fp")
         turned = x if i == 0 else F.shiftleft(x, 8 * i).bitwiseOR(F.shiftrightunsigned(x, 64 - 8 * i))
         return turned.bitwiseAND(F.lit(_signed(mask))).bitwiseOR(F.lit(t))
 
-    return fps.select(F.explode(F.array(*[key(i, t, mask) for t, (i, _, mask) in enumerate(TABLES)])).alias("key"), "fp")
+    return fps.select(F.explode(F.array(*[key(i, t, mask) for t, (i, _, mask) in enumerate(TABLES)])).alias("key"), *fps.columns)
 
 
 def chain_pairs(a: np.ndarray, b: np.ndarray, first: int, most: int = MOST_BITS) -> np.ndarray:
@@ -87,10 +87,10 @@ def chain_pairs(a: np.ndarray, b: np.ndarray, first: int, most: int = MOST_BITS)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, _i, _j, _b, fp) -> links of a spanning forest of each bucket's near fingerprints."""
+    """Sorted (key, _i, _j, _b, fp, node) -> links between the nodes of a spanning forest of each bucket's near fingerprints."""
     enter()
     for t, at in grouped_batches(batches, ["key", "_i", "_j"]):
-        keys, fp = t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        keys, fp, node = t.column("key").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()
         block, lo, hi = (t.column(c).to_numpy() for c in ("_b", "_i", "_j"))
         us, vs = [], []
         sizes = np.diff(at)
@@ -99,8 +99,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.unique(first):
             k = two[first == i]
             ok = chain_pairs(fp[k], fp[k + 1], int(i))
-            us.append(fp[k[ok]])
-            vs.append(fp[k[ok] + 1])
+            us.append(node[k[ok]])
+            vs.append(node[k[ok] + 1])
         for s, n in zip(at[:-1], sizes, strict=True):
             if n < 2 or n == 2 and lo[s] == hi[s]:
                 continue
@@ -117,20 +117,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ok = chain_pairs(own[p], own[q], i)
                 root = forest(n, np.concatenate([np.arange(n), p[ok]]), np.concatenate([root, q[ok]]))
             k = np.flatnonzero(root != np.arange(n))
-            us.append(own[root[k]])
-            vs.append(own[k])
+            us.append(node[s : s + n][root[k]])
+            vs.append(node[s : s + n][k])
         if us and (u := np.concatenate(us)).size:
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
 def near_links(fps: DataFrame) -> DataFrame:
-    """Distinct (fp) -> links (u, v) from each bucket's members to the least one they are chained to: what is linked is connected, with at most one link a member and bucket."""
+    """Distinct (fp, node), the node being the fingerprint where it isn't given -> links (u, v) of nodes from each bucket's members to the least one they are chained to: what is linked is connected, with at most one link a member and bucket."""
     spark = fps.sparkSession
-    rows = bucket_keys(fps)
+    rows = bucket_keys(fps if "node" in fps.columns else fps.withColumn("node", F.col("fp")))
     multi = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = block_pairs(rows.join(multi, "key"), "key", "n", "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").select("key", "_i", "_j", "_b", "fp").mapInArrow(_links, "u long, v long")
+    return dealt.repartition(parts, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").select("key", "_i", "_j", "_b", "fp", "node").mapInArrow(_links, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -142,7 +142,19 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     kind = dict(docs.dtypes)[ident]
     own = stored(fingerprints(docs, ident, text, words), "fingerprints")
     classes = own.groupBy("fp").agg(F.min(ident).alias("least"))
-    found = components(near_links(classes.select("fp")))
+    if kind in ("bigint", "int") and own.where(F.col(ident).isNull()).isEmpty():
+        # classes are named by their smallest id, so that the least node of a component is the answer
+        named = stored(classes.withColumn("node", F.col("least").cast("long")).select("fp", "node"), "named")
+        twice = named.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        if twice.isEmpty():
+            found = components(near_links(named))
+            of = named.join(found, "node", "left").select("fp", F.coalesce("root", "node").cast(kind).alias("component_id"))
+            of = stored(of, "classes")
+            for done in (named, found):
+                discard(done)
+            return own.join(of, "fp").select(ident, "fp", "component_id")
+        discard(named)
+    found = components(near_links(classes.select("fp", F.col("fp").alias("node"))))
     whole = found.join(classes, found.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(classes.join(found.join(whole, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").cast(kind).alias("component_id")), "classes")
     discard(found)

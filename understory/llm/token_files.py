@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from understory.llm.common import enter, fresh_path, parts_of, range_dealt, sliced, small_batches
+from understory.llm.common import enter, fresh_path, range_dealt, range_tasks, sliced, small_batches
 from understory.llm.tokens import tokenizer
 
 MAGIC = 0x31465055
@@ -144,10 +144,11 @@ def write_token_files(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json"
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    parts = parts_of(spark, 4)  # several ranges a task, so that tasks are even
+    tasks = range_tasks(docs)
+    parts = 4 * tasks  # several ranges a task, so that tasks are even
     kind = dict(docs.dtypes)["doc_id"]
     dealt, edges = range_dealt(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", parts)
-    dealt = dealt.repartition(parts_of(spark), "_part").sortWithinPartitions("_part", F.col("doc_id").asc_nulls_last(), "text")
+    dealt = dealt.repartition(tasks, "_part").sortWithinPartitions("_part", F.col("doc_id").asc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer(tokenizer_file), np.array([end_id], "<u4").tobytes()
