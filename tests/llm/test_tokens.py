@@ -117,6 +117,25 @@ def test_token_files_round_trip():
                 assert (token_files.decode_ids(raw, n // 3, n // 2) == x[n // 3 : n // 2]).all()
 
 
+def test_files_hold_their_documents():
+    r = np.random.default_rng(1)
+    for docs in ([], [7], list(range(300)), [-(2**62), 0, 2**62, 2**63 - 1], [5, 5, 9, None, None], ["a", "b", "b", None]):
+        lengths = r.integers(1, 90, len(docs)).tolist()
+        ids = r.integers(0, 50_000, sum(lengths), dtype=np.uint32)
+        got = token_files.decode_file(token_files.encode_file(ids, lengths, docs))
+        assert (got[0] == ids).all() and got[1].tolist() == lengths and got[2] == docs
+    with pytest.raises(ValueError):
+        token_files.encode_file(np.zeros(2, np.uint32), [1, 1], [None, 3])
+    with pytest.raises(ValueError):
+        token_files.decode_file(token_files.encode_ids(np.zeros(30, np.uint32)))
+
+
+def test_named_documents_round_trip(spark):
+    df = spark.createDataFrame([("b", "two words"), ("a", None), (None, "none")], "doc_id string, text string")
+    got = token_files.read_token_files(spark, token_files.write_token_files(df)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == ["a", "b", None] and [r.start for r in got] == [0, 1, 4]
+
+
 def test_outliers_do_not_widen_blocks():
     x = np.arange(4096, dtype=np.uint32) % 16
     small = len(token_files.encode_ids(x))

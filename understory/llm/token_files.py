@@ -9,23 +9,34 @@ all, on any store Spark can write. Its payload is a byte string of its own forma
              low ``width`` bits of each (id - minimum), 64 ids in ``width`` words   uint64
              positions and high parts of the exceptions                           uint32 each
 
-The width is that of the given percentile of a block's differences. Beside the payload the row
-has the documents' ids and lengths and the number of ids before it in its range of doc_id.
+The width is that of the given percentile of a block's differences. A file's payload is four such byte strings: the
+token ids, the documents' lengths, and the low and high words of the documents' numbers above the least. Beside the payload the row
+has only what finds it: its range of doc_id and how many ids it and those before it in the range hold.
+
+    header   magic "UPC1", documents, documents without a number, kind of numbers 4 x uint32
+             least number                                                         int64
+             sizes of the four strings in bytes                                   4 x uint64
+
+Documents that are not numbered by integers have their names as JSON in place of the third string.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from understory.llm.common import enter, fresh_path, range_dealt, range_tasks, sliced, small_batches
 from understory.llm.tokens import tokenizer
 
 MAGIC = 0x31465055
+CONTAINER = 0x31435055
 BLOCK = 4096
 PERCENTILE = 98.0
 #: Blocks worked on at once.
@@ -136,6 +147,40 @@ def decode_ids(payload: bytes, first: int = 0, last: int | None = None) -> np.nd
     return whole[first - begin : last - begin]
 
 
+def encode_file(ids: np.ndarray, lengths: Sequence[int], docs: Sequence, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
+    """A file of whole documents: all their token ids, their lengths and their numbers (or names); those without one come last."""
+    named = [d for d in docs if d is not None]
+    if any(d is None for d in docs[: len(named)]):
+        raise ValueError("documents without a number come last")
+    numbered = all(isinstance(d, (int, np.integer)) for d in named)
+    least, words = 0, [b"", b""]
+    if numbered:
+        least = min(named, default=0)
+        above = np.array([d - least for d in named], np.uint64)
+        words = [encode_ids(w, block, percentile) for w in ((above & np.uint64(0xFFFFFFFF)).astype(np.uint32), (above >> np.uint64(32)).astype(np.uint32))]
+    else:
+        words[0] = json.dumps(named, default=str).encode()
+    parts = [encode_ids(ids, block, percentile), encode_ids(np.array(lengths, np.uint32), block, percentile), *words]
+    head = np.array([CONTAINER, len(docs), len(docs) - len(named), numbered], "<u4").tobytes() + np.array([least], "<i8").tobytes()
+    return b"".join([head, np.array([len(x) for x in parts], "<u8").tobytes(), *parts])
+
+
+def decode_file(payload: bytes) -> tuple[np.ndarray, np.ndarray, list]:
+    """(token ids, lengths, numbers or names) of a file."""
+    magic, count, without, numbered = (int(v) for v in np.frombuffer(payload, "<u4", 4))
+    if magic != CONTAINER:
+        raise ValueError("not a token file")
+    least = int(np.frombuffer(payload, "<i8", 1, 16)[0])
+    ends = np.cumsum(np.concatenate([[56], np.frombuffer(payload, "<u8", 4, 24).astype(np.int64)])).tolist()
+    parts = [memoryview(payload)[a:b] for a, b in zip(ends, ends[1:])]
+    if numbered:
+        low, high = decode_ids(parts[2]).astype(np.uint64), decode_ids(parts[3]).astype(np.uint64)
+        docs = [least + v for v in (low | high << np.uint64(32)).tolist()]
+    else:
+        docs = json.loads(bytes(parts[2]))
+    return decode_ids(parts[0]), decode_ids(parts[1]).astype(np.int64), docs + [None] * without
+
+
 def write_token_files(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json", end_id: int = 0, path: str | None = None, block: int = BLOCK, percentile: float = PERCENTILE, file_ids: int = FILE_IDS) -> str:
     """Tokenise whole texts, append ``end_id`` to each, and write them in ascending doc_id order; returns the folder.
 
@@ -156,13 +201,12 @@ def write_token_files(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json"
 
         def flush() -> pa.RecordBatch:
             nonlocal held, docs_, sizes, total, before
-            payload = encode_ids(np.frombuffer(b"".join(held), "<u4"), block, percentile)
-            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([docs_], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([payload], pa.binary())], ["part", "before", "n_ids", "doc_ids", "lengths", "payload"])
+            payload = encode_file(np.frombuffer(b"".join(held), "<u4"), sizes, docs_, block, percentile)
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([kind]), pa.array([payload], pa.binary())], ["part", "before", "n_ids", "doc_kind", "payload"])
             held, docs_, sizes, before, total = [], [], [], before + total, 0
             return out
 
         for b in (some for batch in batches for some in sliced(batch)):
-            id_type = b.schema.field(1).type
             ids = tok.encode_many(b.column(2).to_pylist())
             for p, doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ids, strict=True):
                 if held and (p != part or total >= file_ids):
@@ -177,7 +221,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json"
             yield flush()
 
     small_batches(spark)
-    files = dealt.select("_part", "doc_id", "text").mapInArrow(run, f"part int, before long, n_ids long, doc_ids array<{kind}>, lengths array<long>, payload binary")
+    files = dealt.select("_part", "doc_id", "text").mapInArrow(run, "part int, before long, n_ids long, doc_kind string, payload binary")
     files.write.parquet(path)
     return path
 
@@ -185,7 +229,9 @@ def write_token_files(docs: DataFrame, tokenizer_file: str = "byte_bpe_50k.json"
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids binary) of a folder's files; start counts the ids of all documents before."""
     files = spark.read.parquet(path)
-    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    first = files.select("doc_kind").first()
+    kind = first.doc_kind if first else "bigint"
+    type_ = to_arrow_type(_parse_datatype_string(kind))
     totals = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row a range
     base, at = {}, 0
     for part, n in totals:
@@ -196,12 +242,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         enter()
         for b in batches:
             for row in range(b.num_rows):
-                part, start, docs_, sizes, payload = (b.column(k)[row] for k in range(5))
-                raw = decode_ids(payload.as_py()).astype("<u4").tobytes()
-                sizes = sizes.values.to_numpy()
+                part, start, payload = (b.column(k)[row].as_py() for k in range(3))
+                ids, sizes, docs_ = decode_file(payload)
+                raw = ids.astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                ids = [raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([docs_.values, pa.array(starts + start.as_py() + base[part.as_py()]), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+                each = [raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs_, type_), pa.array(starts + start + base[part]), pa.array(each, pa.binary())], ["doc_id", "start", "ids"])
 
-    return files.select("part", "before", "doc_ids", "lengths", "payload").mapInArrow(run, f"doc_id {kind}, start long, ids binary")
+    return files.select("part", "before", "payload").mapInArrow(run, f"doc_id {kind}, start long, ids binary")
