@@ -12,6 +12,60 @@ def median(c: Column) -> Column:
     return F.percentile(c, 0.5)
 
 
+#: Bytes of input, as the planner sees them, over which a group's distinct values aren't held in one buffer.
+LARGE = 1 << 30
+
+
+def large(df: DataFrame) -> bool:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > LARGE
+
+
+def spread_percentiles(df: DataFrame, value: str, ps: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a column a percentile): as ``F.percentile``, with no group in one task or buffer.
+
+    Values are counted first. Ranges of the value sum their counts a key; only the ranges that hold a wanted rank are ordered, each on its own.
+    """
+    from pyspark.sql import Window as W
+
+    from understory.operators.windows import in_ranges
+
+    own = list(keys) or ["_all"]
+    rows = (df if keys else df.withColumn("_all", F.lit(0))).select(*own, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    dealt = in_ranges(rows.groupBy(*own, "_v").agg(F.count("*").alias("_n")), "_v")
+    sums = dealt.groupBy(*own, "_part").agg(F.sum("_n").alias("_s"))
+    by_key = W.partitionBy(*own)
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_s").over(by_key.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_s").over(by_key)})
+    at = {n: (F.col("_total") - 1) * F.lit(float(p)) for n, p in ps.items()}
+    holds = F.lit(False)
+    for rank in at.values():
+        for r in (F.floor(rank), F.ceil(rank)):
+            holds = holds | (F.col("_before") <= r) & (r < F.col("_before") + F.col("_s"))
+    wanted = sums.where(holds).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(own)], F.col("_part").alias("_p"), "_before", "_total")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(own):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*own, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ordered = dealt.join(wanted, same).withColumn("_upto", upto)
+    ends = ordered.groupBy(*own).agg(F.first("_total").alias("_total"), *[F.min(F.when(F.col("_upto") > f(at[n]), F.col("_v"))).alias(f"_{side}_{n}") for n in ps for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    got = {n: F.when(F.floor(at[n]) == F.ceil(at[n]), F.col(f"_lo_{n}")).otherwise((F.ceil(at[n]) - at[n]) * F.col(f"_lo_{n}") + (at[n] - F.floor(at[n])) * F.col(f"_hi_{n}")) for n in ps}
+    return ends.select(*keys, *[c.alias(n) for n, c in got.items()])
+
+
+def with_percentiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], value: Column, ps: Mapping[str, float], spread: bool | None = None) -> DataFrame:
+    """Aggregates of each group with exact percentiles of a value. Results are the same either way; large inputs spread the order over tasks."""
+    if not (large(df) if spread is None else spread):
+        return df.groupBy(*keys).agg(*aggs, *[F.percentile(value, p).alias(n) for n, p in ps.items()])
+    got = spread_percentiles(df.select(*keys, value.alias("_value")), "_value", ps, keys)
+    base = df.groupBy(*keys).agg(*aggs)
+    if not keys:
+        return base.join(got, F.lit(True), "left")  # a row each
+    got = got.toDF(*[f"_k{i}" for i in range(len(keys))], *ps)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & base[k].eqNullSafe(got[f"_k{i}"])
+    return base.join(got, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def share(condition: Column) -> Column:
     return F.avg(condition.cast("int"))
 
@@ -83,26 +137,28 @@ def class_mix(df: DataFrame, value: str, edges: Sequence[float], area: float = 1
 
 def change_summary(df: DataFrame, change: str, mask: Column) -> DataFrame:
     c = F.when(mask, F.col(change))
-    return df.agg(F.count(c).alias("n"), median(c).alias("median"), F.percentile(c, 0.1).alias("p10"), F.percentile(c, 0.9).alias("p90"))
+    return with_percentiles(df, [], [F.count(c).alias("n")], c, {"median": 0.5, "p10": 0.1, "p90": 0.9})
 
 
 def summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.percentile(v, 0.05).alias("p5"), F.percentile(v, 0.95).alias("p95"))
+    got = with_percentiles(df, keys, [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")], v, {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    return got.select(*keys, "n", "mean", "median", "sd", "p5", "p95")
 
 
 def height_summary(df: DataFrame, height: str, keys: Sequence[str] = ()) -> DataFrame:
     h = F.col(height)
     over = [share(F.when(h.isNotNull(), h > t)).alias(f"over_{t}") for t in (2, 5, 10)]
-    return df.groupBy(*keys).agg(F.count(h).alias("n"), median(h).alias("median"), F.percentile(h, 0.95).alias("p95"), *over)
+    return with_percentiles(df, keys, [F.count(h).alias("n"), *over], h, {"median": 0.5, "p95": 0.95})
 
 
 def normalised_mad(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """1.4826 times the median distance from the median, of each group."""
     keys, own = list(keys), list(keys) or ["_all"]
     df = df if keys else df.withColumn("_all", F.lit(0))
-    mid = df.groupBy(*own).agg(median(F.col(value)).alias("_m"))
-    return df.join(mid, own).groupBy(*keys).agg((1.4826 * median(F.abs(F.col(value) - F.col("_m")))).alias("nmad"), F.count(value).alias("n"))
+    mid = with_percentiles(df, own, [F.count("*").alias("_rows")], F.col(value), {"_m": 0.5}).drop("_rows")
+    got = with_percentiles(df.join(mid, own), keys, [F.count(value).alias("n")], F.abs(F.col(value) - F.col("_m")), {"nmad": 0.5})
+    return got.select(*keys, (1.4826 * F.col("nmad")).alias("nmad"), "n")
 
 
 def disturbance(df: DataFrame, change: str, limit: float, keys: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from understory.operators.aggregates import with_percentiles
+
 # ---------------------------------------------------------------- median prior
 
 
@@ -22,8 +24,8 @@ def scopes(train: DataFrame, kind: str, group: str, least: int, keys: Sequence[s
 def median_prior(df: DataFrame, kind: str, group: str, start: str, end: str, least: int) -> DataFrame:
     """(kind, scope, increment): median growth of the kind, or of its broad group where the kind has fewer than ``least`` rows."""
     rows = df.select(kind, group, (F.col(end) - F.col(start)).alias("g"))
-    by_type = rows.groupBy(kind, group).agg(F.count("*").alias("n"), F.percentile("g", 0.5).alias("t"))
-    by_group = rows.groupBy(group).agg(F.percentile("g", 0.5).alias("b"))
+    by_type = with_percentiles(rows, [kind, group], [F.count("*").alias("n")], F.col("g"), {"t": 0.5})
+    by_group = with_percentiles(rows, [group], [F.count("*").alias("_rows")], F.col("g"), {"b": 0.5}).drop("_rows")
     own = (F.col("n") >= least) & ~F.col(kind).startswith("group:")
     got = by_type.join(by_group, group)
     return got.select(kind, F.when(own, F.concat(F.lit("type:"), F.col(kind))).otherwise(F.concat(F.lit("group:"), F.col(group))).alias("scope"), F.when(own, F.col("t")).otherwise(F.col("b")).alias("increment"), "n")
@@ -32,10 +34,13 @@ def median_prior(df: DataFrame, kind: str, group: str, start: str, end: str, lea
 def fold_prior(df: DataFrame, fold: str, folds: int, kind: str, group: str, start: str, end: str, least: int, statistic: str = "median") -> DataFrame:
     """Rows with ``predicted``: start plus the median (or mean) growth of their scope in all other folds. Every row is copied to the folds that train on it."""
     rows = df.select(fold, kind, group, (F.col(end) - F.col(start)).alias("g"))
-    middle = {"median": F.percentile("g", 0.5), "mean": F.avg("g")}[statistic]
     train = rows.withColumn("_f", F.explode(F.array(*[F.lit(k) for k in range(folds)]))).where(F.col("_f") != F.col(fold))
-    by_type = train.groupBy("_f", kind).agg(F.count("*").alias("_n"), middle.alias("_t"))
-    by_group = train.groupBy("_f", group).agg(middle.alias("_b"))
+    if statistic == "median":
+        by_type = with_percentiles(train, ["_f", kind], [F.count("*").alias("_n")], F.col("g"), {"_t": 0.5})
+        by_group = with_percentiles(train, ["_f", group], [F.count("*").alias("_rows")], F.col("g"), {"_b": 0.5}).drop("_rows")
+    else:
+        by_type = train.groupBy("_f", kind).agg(F.count("*").alias("_n"), F.avg("g").alias("_t"))
+        by_group = train.groupBy("_f", group).agg(F.avg("g").alias("_b"))
     own = (F.coalesce("_n", F.lit(0)) >= least) & ~F.col(kind).startswith("group:")
     out = df.withColumn("_f", F.col(fold)).join(by_type, ["_f", kind], "left").join(by_group, ["_f", group], "left")
     return out.withColumn("predicted", F.col(start) + F.when(own, F.col("_t")).otherwise(F.col("_b"))).drop("_f", "_n", "_t", "_b")
@@ -44,8 +49,8 @@ def fold_prior(df: DataFrame, fold: str, folds: int, kind: str, group: str, star
 def training_prior(df: DataFrame, fold: str, folds: int, kind: str, group: str, start: str, end: str, least: int) -> DataFrame:
     """Every row once for each fold ``_f`` that trains on it, with ``_increment``: the median growth of its scope in that fold's training rows."""
     rows = df.withColumn("_g", F.col(end) - F.col(start)).withColumn("_f", F.explode(F.array(*[F.lit(k) for k in range(folds)]))).where(F.col("_f") != F.col(fold))
-    by_type = rows.groupBy("_f", kind).agg(F.count("*").alias("_n"), F.percentile("_g", 0.5).alias("_t"))
-    by_group = rows.groupBy("_f", group).agg(F.percentile("_g", 0.5).alias("_b"))
+    by_type = with_percentiles(rows, ["_f", kind], [F.count("*").alias("_n")], F.col("_g"), {"_t": 0.5})
+    by_group = with_percentiles(rows, ["_f", group], [F.count("*").alias("_rows")], F.col("_g"), {"_b": 0.5}).drop("_rows")
     own = (F.col("_n") >= least) & ~F.col(kind).startswith("group:")
     out = rows.join(by_type, ["_f", kind]).join(by_group, ["_f", group])
     return out.withColumn("_increment", F.when(own, F.col("_t")).otherwise(F.col("_b"))).drop("_n", "_t", "_b", "_g")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from understory.operators.aggregates import with_percentiles
+
 
 # ---------------------------------------------------------------- block bootstrap
 
@@ -165,8 +167,9 @@ def block_size(reach: float, candidates: Sequence[float], least: float) -> float
 
 def noise_table(rungs: DataFrame, base: float, min_cells: int = 0) -> DataFrame:
     """Per scale (rows: scale, delta): n, mean, NMAD, sd, detection limit, admission, and on every row the decay of noise with the cells of a block, over admitted scales: base_sigma * cells ^ -decay."""
-    mid = rungs.groupBy("scale").agg(F.percentile("delta", 0.5).alias("_m"))
-    got = rungs.join(mid, "scale").groupBy("scale").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"), (1.4826 * F.percentile(F.abs(F.col("delta") - F.col("_m")), 0.5)).alias("nmad"), F.stddev_samp("delta").alias("sd"))
+    mid = with_percentiles(rungs, ["scale"], [F.count("*").alias("_rows")], F.col("delta"), {"_m": 0.5}).drop("_rows")
+    aggs = [F.count("delta").alias("n"), F.avg("delta").alias("mean"), F.stddev_samp("delta").alias("sd")]
+    got = with_percentiles(rungs.join(mid, "scale"), ["scale"], aggs, F.abs(F.col("delta") - F.col("_m")), {"nmad": 0.5}).withColumn("nmad", 1.4826 * F.col("nmad"))
     got = got.withColumns({"lod95": 1.96 * F.col("nmad"), "admitted": (F.col("n") >= max(2, min_cells)) & (F.col("nmad") > 0)})
     x, y = F.when(F.col("admitted"), 2 * F.log(F.col("scale") / base)), F.when(F.col("admitted"), F.log("nmad"))
     w = Window.partitionBy(F.lit(0))  # a row a scale
