@@ -27,8 +27,9 @@ VOCABULARY = "piece_bpe_32k.model"
 FIT_TEXTS = 400
 FIT_LETTERS = 1024
 ROUNDS = 3
-#: Tasks of a fit.
+#: Tasks of a fit, and words of a language that one works on at once.
 FIT_TASKS = 8
+FIT_WORK = 1 << 14
 #: Pseudo-count of each piece; share of probability kept for letters outside the vocabulary.
 SMOOTH = 0.01
 STRAY = 1e-6
@@ -273,7 +274,7 @@ def training_words(labelled: DataFrame, lang: str = "lang", text: str = "text",
 def fitted_on(counts: DataFrame, name_or_path: str = VOCABULARY, rounds: int = ROUNDS, tasks: int = FIT_TASKS) -> Model:
     """A model from word counts (lang, w, n). Each round is one job over them: a task returns one vector a language."""
     spark = counts.sparkSession
-    own = stored(counts.coalesce(tasks), "words")
+    own = stored(counts, "words")
     languages = sorted(r.lang for r in own.select("lang").distinct().collect())
     t = trie(name_or_path)
     p = np.stack([start(t.none)] * len(languages), axis=1) if languages else np.zeros((t.none + 2, 0))
@@ -284,16 +285,27 @@ def fitted_on(counts: DataFrame, name_or_path: str = VOCABULARY, rounds: int = R
             enter()
             known, now = sent.value
             out = {k: np.zeros(len(now)) for k in known}
-            for b in batches:
-                lang, words, n = (b.column(k).to_pylist() for k in range(3))
+            held: dict[str, tuple[list[str], list[float]]] = {k: ([], []) for k in known}
+
+            def take(least: int) -> None:
+                """Words in work at once, so that lattices of one length hold many."""
                 for k, of in enumerate(known):
-                    mine = [x for x, own_ in enumerate(lang) if own_ == of and re.fullmatch(r"[^\W\d_]+", words[x])]
-                    if mine:
-                        out[of] += expectations(trie(name_or_path), [words[x] for x in mine], np.array([n[x] for x in mine], float), now[:, k])
+                    words, n = held[of]
+                    if len(words) > least:
+                        out[of] += expectations(trie(name_or_path), words, np.array(n, float), now[:, k])
+                        held[of] = [], []
+
+            for b in batches:
+                for lang, w, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    if re.fullmatch(r"[^\W\d_]+", w):
+                        held[lang][0].append(w)
+                        held[lang][1].append(n)
+                take(FIT_WORK)
+            take(0)
             yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["lang", "counts"])
 
         total = {k: np.zeros(t.none + 2) for k in languages}
-        for r in own.select("lang", "w", "n").mapInArrow(run, "lang string, counts binary").collect():
+        for r in own.select("lang", "w", "n").repartition(tasks, "w").mapInArrow(run, "lang string, counts binary").collect():
             total[r.lang] += np.frombuffer(r.counts)
         p = np.stack([maximised(total[k]) for k in languages], axis=1)
         sent.unpersist()
