@@ -305,7 +305,7 @@ def fitted_on(counts: DataFrame, name_or_path: str = VOCABULARY, rounds: int = R
             yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["lang", "counts"])
 
         total = {k: np.zeros(t.none + 2) for k in languages}
-        for r in own.select("lang", "w", "n").repartition(tasks, "w").mapInArrow(run, "lang string, counts binary").collect():
+        for r in own.select("lang", "w", "n").repartition(tasks).mapInArrow(run, "lang string, counts binary").collect():
             total[r.lang] += np.frombuffer(r.counts)
         p = np.stack([maximised(total[k]) for k in languages], axis=1)
         sent.unpersist()
