@@ -128,7 +128,8 @@ def near_links(fps: DataFrame) -> DataFrame:
     spark = fps.sparkSession
     rows = bucket_keys(fps if "node" in fps.columns else fps.withColumn("node", F.col("fp")))
     multi = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = block_pairs(rows.join(multi, "key"), "key", "n", "fp")
+    # sizes of exploded rows are estimated without the factor of 24, so that small ones would be broadcast whole
+    dealt = block_pairs(rows.join(multi.hint("merge"), "key"), "key", "n", "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j").select("key", "_i", "_j", "_b", "fp", "node").mapInArrow(_links, "u long, v long")
 
