@@ -222,10 +222,11 @@ def test_all_near_fingerprints_are_linked(spark, monkeypatch, block):
     assert got == classes(len(fps), [(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 3])
 
 
-def test_no_exploded_keys_are_broadcast(spark):
+@pytest.mark.parametrize("columns", [["fp", "node"], ["fp"]])
+def test_no_exploded_keys_are_broadcast(spark, columns):
     """The planner sees 24 keys a fingerprint as one, so a table far below the broadcast threshold must not be sent whole."""
     named = common.stored(spark.range(2000).selectExpr("xxhash64(id) fp", "id node"), "named")
-    plan = simhash.near_links(named)._jdf.queryExecution().sparkPlan().toString()
+    plan = simhash.near_links(named.select(columns))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
