@@ -175,7 +175,7 @@ def inspect_points(spark, cfg, t):
 
 @command("points", "edges", "classes", settings=("bucket_m", "pool_below"))
 def join_vegetation(spark, cfg, t):
-    hits = joins.points_in_polygons(t["points"], t["edges"], float(cfg["bucket_m"]))
+    hits = joins.lone_polygons(t["points"], t["edges"], float(cfg["bucket_m"]))
     return {"vegetation": joins.assigned_types(t["points"], hits, t["classes"], int(cfg["pool_below"]))}
 
 
