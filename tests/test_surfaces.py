@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,24 @@ def test_canopy_of_a_planted_scene(spark):
     assert c.top == pytest.approx(108 - 101.2, abs=0.8) and c.over_10 is None and c.top == max(v for v in (c.over_0, c.over_2, c.over_5) if v is not None)
     stats = surfaces.dimension_stats(ready, ["z"], ["tile"]).first()
     assert stats.points == ready.count() and stats.greatest_z < 125
+
+
+@pytest.mark.parametrize("most", [surfaces.MOST_PAIRS, 0])
+def test_blockwise_thinning_equals_one_pass(spark, monkeypatch, most):
+    """Small blocks and rims, a chain of points longer than a rim, points of equal order, copies: as in one pass over each tile."""
+    monkeypatch.setattr(surfaces, "THIN_BLOCK", 6)
+    monkeypatch.setattr(surfaces, "THIN_RIM", 2)
+    monkeypatch.setattr(surfaces, "MOST_PAIRS", most)
+    r = np.random.default_rng(3)
+    some = pd.DataFrame({"tile": r.integers(0, 2, 1500), "x": r.uniform(-15, 15, 1500), "y": r.uniform(-15, 15, 1500), "id": r.integers(0, 400, 1500)})
+    line = pd.DataFrame({"tile": 7, "x": np.arange(120) * 0.5, "y": 0.0, "id": range(120)})
+    points = pd.concat([some, line, line.head(9)], ignore_index=True).sample(frac=1, random_state=1)
+    want = []
+    for _, g in points.groupby("tile"):
+        g = g.sort_values(["id", "x", "y"], kind="stable")
+        want.append(g[surfaces.kept_disks(g.x.to_numpy(float), g.y.to_numpy(float), 0.8)])
+    thinned = surfaces.poisson_thinned(spark.createDataFrame(points), 0.8, ["id"])
+    assert "_i" in thinned._jdf.queryExecution().optimizedPlan().toString()  # a block, not a tile, is the unit of work
+    got = thinned.toPandas()
+    columns = ["tile", "x", "y", "id"]
+    assert sorted(map(tuple, got[columns].to_numpy())) == sorted(map(tuple, pd.concat(want)[columns].to_numpy()))

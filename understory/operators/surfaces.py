@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,16 +112,136 @@ def kept_disks(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
     return keep
 
 
+#: Side of a thinning block and width of the rim around it, in squares of the radius.
+THIN_BLOCK, THIN_RIM = 96, 16
+#: Candidate pairs a point up to which a block's pairs are listed; denser blocks are worked point after point.
+MOST_PAIRS = 128
+KEPT, DROPPED, OPEN = 1, 2, 0
+
+
+def _square_pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points in order of their square, and for each point and each of three rows of squares around it the first and the end of the points there."""
+    i, j = i - i.min() + 1, j - j.min() + 1
+    wide = int(j.max()) + 2
+    key = i * wide + j
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    around = key[:, None] + np.array([-wide, 0, wide])
+    return order, np.searchsorted(ranked, around - 1), np.searchsorted(ranked, around + 1, side="right")
+
+
+def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and which place, of all places in the ranges."""
+    n = end - first
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+
+
+def thinning_states(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, whole: np.ndarray) -> np.ndarray:
+    """KEPT or DROPPED where that is certain, else OPEN, of points in order that lie in squares (i, j) of the radius.
+
+    ``whole`` says whether all points around a point are here; one without can't be known to stay, but can be known to go.
+    """
+    state = np.zeros(len(x), np.int8)
+    if not len(x):
+        return state
+    order, first, end = _square_pairs(i, j)
+    if (end - first).sum() > MOST_PAIRS * len(x):
+        return _states_in_turn(i, j, x, y, radius, whole)
+    early, late = [], []
+    for s in range(0, len(x), 1 << 16):
+        of, at = _spread(first[s : s + (1 << 16)].ravel(), end[s : s + (1 << 16)].ravel())
+        p, q = s + of // 3, order[at]
+        near = (q < p) & ((x[p] - x[q]) ** 2 + (y[p] - y[q]) ** 2 < radius * radius)
+        early.append(q[near])
+        late.append(p[near])
+    early, late = np.concatenate(early), np.concatenate(late)
+    while True:
+        stop = np.zeros(len(x), bool)
+        stop[late] = True
+        new = (state == OPEN) & whole & ~stop
+        state[new] = KEPT
+        state[late[new[early]]] = DROPPED
+        live = (state[late] == OPEN) & (state[early] == OPEN)  # a kept point has dropped what it could
+        if not new.any() and live.all():
+            return state
+        early, late = early[live], late[live]
+
+
+def _states_in_turn(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, whole: np.ndarray) -> np.ndarray:
+    """``thinning_states`` point after point; memory follows the points that stay or stay open."""
+    state, limit = np.zeros(len(x), np.int8), radius * radius
+    kept: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    unsure: dict[tuple[int, int], list[tuple[float, float]]] = {}
+
+    def near(held: dict, a: int, b: int, px: float, py: float) -> bool:
+        return any((px - qx) ** 2 + (py - qy) ** 2 < limit for da in (-1, 0, 1) for db in (-1, 0, 1) for qx, qy in held.get((a + da, b + db), ()))
+
+    for k, (a, b, px, py, all_here) in enumerate(zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), whole.tolist(), strict=True)):
+        if near(kept, a, b, px, py):
+            state[k] = DROPPED
+        elif all_here and not near(unsure, a, b, px, py):
+            state[k] = KEPT
+            kept.setdefault((a, b), []).append((px, py))
+        else:
+            unsure.setdefault((a, b), []).append((px, py))
+    return state
+
+
 def poisson_thinned(points: DataFrame, radius: float, order: Sequence[str], keys: Sequence[str] = ("tile",)) -> DataFrame:
-    """Poisson-disk thinning of each tile: points in ``order`` stay unless one that stayed lies nearer than the radius."""
+    """Poisson-disk thinning of each tile: points in ``order``, equal ones by place, stay unless one that stayed lies nearer than the radius.
+
+    Blocks of a tile are worked by themselves with a rim of the points around, which settles nearly all points: those that stay or go whatever
+    lies beyond the rim. Only what stays open then meets a tile at a time. No point that is known to stay lies within the radius of an open one,
+    since its own block would have known that one to go and said so, so the open points of a tile decide among themselves.
+    """
     if radius <= 0:
         raise ValueError("the radius must be positive")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pdf[kept_disks(pdf.x.to_numpy(float), pdf.y.to_numpy(float), radius)]
-
-    return _per_tile(points, keys, work, _schema(points))
+    keys, by = list(keys), [*order, "x", "y"]
+    fl = lambda c, n: F.floor(c / n).cast("long")
+    at = points.withColumns({"_ci": fl(F.col("x"), F.lit(float(radius))), "_cj": fl(F.col("y"), F.lit(float(radius)))})
+    own = at.withColumns({"_i": fl(F.col("_ci"), THIN_BLOCK), "_j": fl(F.col("_cj"), THIN_BLOCK), "_own": F.lit(True)})
+    reach = lambda c: F.sequence(fl(F.col(c) - THIN_RIM, THIN_BLOCK), fl(F.col(c) + THIN_RIM, THIN_BLOCK))
+    rim = own.where((F.size(reach("_ci")) > 1) | (F.size(reach("_cj")) > 1)).withColumnsRenamed({"_i": "_oi", "_j": "_oj"})
+    rim = rim.withColumn("_i", F.explode(reach("_ci"))).withColumn("_j", F.explode(reach("_cj"))).where("_i <> _oi or _j <> _oj").withColumn("_own", F.lit(False))
+    columns = points.columns
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf._own.any():
+            return pdf.head(0)[columns].assign(_s=0, _r=0)
+        pdf = pdf.sort_values(by, kind="stable")
+        i, j, mine = pdf._ci.to_numpy(np.int64), pdf._cj.to_numpy(np.int64), pdf._own.to_numpy(bool)
+        inner = lambda c, n: (c > n * THIN_BLOCK - THIN_RIM) & (c < (n + 1) * THIN_BLOCK + THIN_RIM - 1)
+        bi, bj = int(pdf._i.iloc[0]), int(pdf._j.iloc[0])
+        state = thinning_states(i, j, pdf.x.to_numpy(float), pdf.y.to_numpy(float), radius, inner(i, bi) & inner(j, bj))
+        beside = ~mine & (i >= bi * THIN_BLOCK - 1) & (i <= (bi + 1) * THIN_BLOCK) & (j >= bj * THIN_BLOCK - 1) & (j <= (bj + 1) * THIN_BLOCK)
+        says = mine & (state != DROPPED) | beside & (state == DROPPED)
+        return pdf[says][columns].assign(_s=state[says], _r=np.where(state[says] == KEPT, 1 + (bi * 1_000_003 + bj) % 65_521, 0))
+
+    known = own.select(*columns, "_ci", "_cj", "_i", "_j", "_own").unionByName(rim.select(*columns, "_ci", "_cj", "_i", "_j", "_own"))
+    settled = known.where("x is not null and y is not null").groupBy(*keys, "_i", "_j").applyInPandas(settle, _schema(points, "_s int", "_r int"))
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rest = []
+        for b in batches:
+            to = b.column(b.schema.get_field_index("_r"))
+            if len(found := b.filter(pc.equal(to, 0))):
+                rest.append(found)
+            if len(done := b.filter(pc.not_equal(to, 0))):
+                yield done.select(columns)
+        if not rest:
+            return
+        left = pa.Table.from_batches(rest)
+        pdf = left.select(list(dict.fromkeys([*keys, *by, "_s"]))).to_pandas()
+        gone = pdf[pdf._s == DROPPED].drop(columns="_s").drop_duplicates()
+        pdf = pdf[pdf._s == OPEN].drop(columns="_s").reset_index(names="_at").merge(gone.assign(_gone=True), how="left", on=list(gone.columns))
+        pdf = pdf[pdf._gone.isna()].sort_values(by, kind="stable")
+        stay = [some._at.to_numpy()[kept_disks(some.x.to_numpy(float), some.y.to_numpy(float), radius)] for _, some in (pdf.groupby(keys, dropna=False) if keys else [((), pdf)])]
+        if stay:
+            yield from left.take(np.sort(np.concatenate(stay))).select(columns).to_batches()
+
+    # what stays open of a tile meets in one task; what is settled goes by block
+    return settled.repartition(*keys, "_r").mapInArrow(finish, _schema(points))
 
 
 def _opened(z: np.ndarray, radius: int) -> np.ndarray:
