@@ -184,3 +184,25 @@ def test_blockwise_thinning_equals_one_pass(spark, monkeypatch, most):
     got = thinned.toPandas()
     columns = ["tile", "x", "y", "id"]
     assert sorted(map(tuple, got[columns].to_numpy())) == sorted(map(tuple, pd.concat(want)[columns].to_numpy()))
+
+
+def test_heights_by_block_equal_one_pass(spark, monkeypatch):
+    """Ground at all distances, equal distances, copies, bare tiles, missing places: as by comparing all pairs, without a tile as the unit of work."""
+    monkeypatch.setattr(surfaces, "GROUND_SIDE", 1.0)
+    monkeypatch.setattr(surfaces, "GROUND_STEP", 3)
+    monkeypatch.setattr(surfaces, "GROUND_BLOCK", 4)
+    r = np.random.default_rng(5)
+    n = 1500
+    points = pd.DataFrame({"tile": r.integers(0, 3, n), "id": range(n), "x": r.integers(-120, 120, n) / 4, "y": r.integers(-120, 120, n) / 4, "z": r.integers(0, 40, n) / 2})
+    points["ground"] = (points.tile < 2) & (r.random(n) < 0.2) & ((points.tile == 1) | (points.x < 0) & (points.y < 5) | (points.x > 29))
+    points.loc[3, ["x", "ground"]] = [np.nan, False]
+    want = {}
+    for _, t in points.groupby("tile"):
+        g = t[t.ground].sort_values("z")
+        for p in t.itertuples():
+            d = ((p.x - g.x) ** 2 + (p.y - g.y) ** 2).to_numpy()
+            want[p.id] = None if not len(g) or np.isnan(p.x) else p.z - g.z.to_numpy()[d.argmin()]
+    frame = surfaces.heights_above_ground(spark.createDataFrame(points))
+    assert "_i" in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = frame.select("id", "height").collect()
+    assert len(got) == n and {r.id: r.height for r in got} == want

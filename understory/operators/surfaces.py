@@ -1,7 +1,7 @@
 """Height surfaces from point tables (tile, x, y, z, ...): thinning, ground, heights above ground, layered canopy rasters.
 
-Stages that are filters or sums are DataFrame expressions. Thinning, ground and nearest ground need the points around a point; they run a
-tile at a time, which is the unit of work and bounds their memory. A tile's own points decide its result.
+Stages that are filters or sums are DataFrame expressions. Thinning, ground and nearest ground need the points around a point. Ground runs a
+tile at a time; thinning and nearest ground run by blocks of a tile with what lies around them. A tile's own points decide its result.
 """
 
 from __future__ import annotations
@@ -316,48 +316,123 @@ def classified_ground(points: DataFrame, rules: Mapping[str, float], keys: Seque
 
 
 def nearest_values(x: np.ndarray, y: np.ndarray, gx: np.ndarray, gy: np.ndarray, gz: np.ndarray, most: int = 1 << 22) -> np.ndarray:
-    """Value of the nearest ground point of each point; of equal distances that of the least value. Points are worked on a square at a time, against rings of squares."""
+    """Value of the nearest ground point of each point; of equal distances that of the least value.
+
+    Points look through the nine squares around them; those whose nearest lies beyond a square's side look again through squares of twice the side. ``most`` bounds the pairs at a time.
+    """
     out = np.full(len(x), np.nan)
     if not len(gx) or not len(x):
         return out
-    order = np.argsort(gz, kind="stable")
+    order = np.lexsort((gz, gy, gx))  # copies of a place count once, with their least value
+    order = order[np.r_[True, (np.diff(gx[order]) != 0) | (np.diff(gy[order]) != 0)]]
     gx, gy, gz = gx[order], gy[order], gz[order]
-    wide = max(float(np.ptp(np.concatenate([x, gx]))), float(np.ptp(np.concatenate([y, gy]))), 1e-9)
-    size = max(wide / max(1.0, np.sqrt(len(gx) / 4)), 1e-9)
-    squares: dict[tuple[int, int], list[int]] = {}
-    for k, s in enumerate(zip(np.floor(gx / size).astype(np.int64).tolist(), np.floor(gy / size).astype(np.int64).tolist(), strict=True)):
-        squares.setdefault(s, []).append(k)
-    mine = pd.DataFrame({"i": np.floor(x / size).astype(np.int64), "j": np.floor(y / size).astype(np.int64)})
-    reach = int(wide / size) + 2
-    for (i, j), own in mine.groupby(["i", "j"]).indices.items():
-        found: list[int] = []
-        stop = reach
-        for ring in range(reach + 1):
-            if ring > stop:
-                break
-            for a in range(i - ring, i + ring + 1):
-                for b in (range(j - ring, j + ring + 1) if abs(a - i) == ring else (j - ring, j + ring)):
-                    found += squares.get((a, b), ())
-            if found and stop == reach:  # nothing farther than a square's diagonal beyond this ring can be nearer
-                stop = int(np.ceil((ring + 1) * 1.4143)) + 1
-        at = np.array(sorted(found))
-        step = max(1, most // len(at))
-        for s in range(0, len(own), step):
-            some = own[s : s + step]
-            d = (x[some, None] - gx[at]) ** 2 + (y[some, None] - gy[at]) ** 2
-            out[some] = gz[at[np.argmin(d, axis=1)]]
+    x0, y0 = gx.min(), gy.min()
+    wide = max(float(max(x.max(), gx.max()) - min(x.min(), x0)), float(max(y.max(), gy.max()) - min(y.min(), y0)), 1e-9)
+    size = max(float(np.sqrt(max(np.ptp(gx), 1e-9) * max(np.ptp(gy), 1e-9) * 2 / len(gx))), wide / (1 << 20))
+
+    def squares(size: float) -> tuple[np.ndarray, int]:
+        tall = int((gy.max() - y0) / size) + 5
+        return np.floor((gx - x0) / size).astype(np.int64) * tall + np.floor((gy - y0) / size).astype(np.int64) + 2, tall
+
+    while size > wide / (1 << 20) and np.unique(squares(size)[0], return_counts=True)[1].max() > 64:
+        size /= 2
+    left = np.arange(len(x))
+    while len(left):
+        key, tall = squares(size)
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        i = np.floor((x[left] - x0) / size).astype(np.int64)
+        j = np.clip(np.floor((y[left] - y0) / size).astype(np.int64), -1, tall - 4)
+        around = (i[:, None] + np.array([-1, 0, 1])) * tall + j[:, None] + 2
+        first, end = np.searchsorted(ranked, around - 1), np.searchsorted(ranked, around + 1, side="right")
+        ends = np.cumsum((end - first).sum(axis=1))
+        sure = np.zeros(len(left), bool)
+        s = 0
+        while s < len(left):
+            t = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + most, side="right")))
+            of, at = _spread(first[s:t].ravel(), end[s:t].ravel())
+            of, at = of // 3, order[at]
+            d = (x[left[s:t]][of] - gx[at]) ** 2 + (y[left[s:t]][of] - gy[at]) ** 2
+            if len(of):
+                has, starts = np.unique(of, return_index=True)
+                least = np.full(t - s, np.inf)
+                least[has] = np.minimum.reduceat(d, starts)
+                out[left[s + has]] = np.fmin.reduceat(np.where(d == least[of], gz[at], np.nan), starts)
+                sure[s:t] = least < (0.999999 * size) ** 2
+            s = t
+        if size > wide:
+            break
+        left, size = left[~sure], size * 2
     return out
 
 
+#: Sides of the squares that are asked for ground, each a multiple of the one before; and how many squares a block is wide.
+GROUND_SIDE, GROUND_STEP, GROUND_LEVELS, GROUND_BLOCK = 4.0, 8, 3, 40
+
+
 def heights_above_ground(points: DataFrame, keys: Sequence[str] = ("tile",), ground: str = "ground") -> DataFrame:
-    """Points with ``height``: z less that of the nearest ground return of the tile; null in a tile without ground."""
+    """Points with ``height``: z less that of the nearest ground return of the tile; null in a tile without ground.
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf[pdf[ground].fillna(False).astype(bool)]
-        under = nearest_values(pdf.x.to_numpy(float), pdf.y.to_numpy(float), g.x.to_numpy(float), g.y.to_numpy(float), g.z.to_numpy(float))
-        return pdf.assign(height=pdf.z - under)
+    A point whose square holds ground has its nearest ground within the square's diagonal, so blocks of squares with two squares of ground around
+    them are worked by themselves. Points of bare squares go by the smallest of the wider squares that holds ground, and by the whole tile where none does.
+    """
+    keys = list(keys)
+    fl = lambda c, n: F.floor(c / n).cast("long")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    columns, flag, levels = points.columns, F.coalesce(F.col(ground).cast("boolean"), F.lit(False)), range(1, GROUND_LEVELS)
+    at = points.withColumns({"_ci": fl(F.col("x"), F.lit(GROUND_SIDE)), "_cj": fl(F.col("y"), F.lit(GROUND_SIDE)), "_fine": known("x") & known("y"), "_is": flag & known("x") & known("y")})
+    side = lambda c, k: fl(F.col(c), GROUND_STEP**k)
+    block = lambda c, k, by=0: fl(side(c, k) + by, GROUND_BLOCK)
+
+    def around(rows: DataFrame, k: int) -> DataFrame:
+        """Ground rows in each block of the level that needs them."""
+        spots = [F.sequence(block(c, k, -2), block(c, k, 2)) for c in ("_ci", "_cj")]
+        return rows.withColumn("_i", F.explode(spots[0])).withColumn("_j", F.explode(spots[1])).withColumns({"_k": F.lit(k), "_own": F.lit(False)})
+
+    tagged = [*columns, "_k", "_i", "_j", "_own"]
+    base = at.withColumns({"_k": F.lit(0), "_i": block("_ci", 0), "_j": block("_cj", 0), "_own": F.lit(True)})
+    edge = at.where(F.col("_is") & ((block("_ci", 0, -2) != block("_ci", 0, 2)) | (block("_cj", 0, -2) != block("_cj", 0, 2))))
+    edge = around(edge, 0).where((F.col("_i") != block("_ci", 0)) | (F.col("_j") != block("_cj", 0)))
+    # squares without ground, with the first wider level that has some; the last is the whole tile
+    cells = at.where("_fine").groupBy(*keys, "_ci", "_cj").agg(F.max("_is").alias("_has"))
+    bare, level = cells.where("not _has").drop("_has"), F.lit(GROUND_LEVELS)
+    for k in reversed(levels):
+        some = cells.where("_has").select(*[F.col(c).alias(f"_key{n}") for n, c in enumerate(keys)], side("_ci", k).alias("_wi"), side("_cj", k).alias("_wj")).distinct().withColumn(f"_has{k}", F.lit(True))
+        on = (side("_ci", k) == F.col("_wi")) & (side("_cj", k) == F.col("_wj"))
+        for n, c in enumerate(keys):
+            on = on & F.col(c).eqNullSafe(F.col(f"_key{n}"))
+        bare = bare.join(some, on, "left").select(*bare.columns, f"_has{k}")
+        level = F.when(F.col(f"_has{k}"), F.lit(k)).otherwise(level)
+    place = lambda c: F.when(F.col("_k") == GROUND_LEVELS, F.lit(0).cast("long")).otherwise(F.coalesce(*[F.when(F.col("_k") == k, block(c, k)) for k in levels]))
+    bare = bare.withColumn("_k", level).withColumns({"_i": place("_ci"), "_j": place("_cj")}).select(*[F.col(c).alias(f"_key{n}") for n, c in enumerate(keys)], F.col("_ci").alias("_bi"), F.col("_cj").alias("_bj"), "_k", "_i", "_j")
+    same = F.lit(True)
+    for n, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key{n}"))
+    far = at.where("_fine").join(bare, same & (F.col("_ci") == F.col("_bi")) & (F.col("_cj") == F.col("_bj"))).withColumn("_own", F.lit(True))
+    needed = bare.select(*[f"_key{n}" for n in range(len(keys))], F.col("_k").alias("_nk"), F.col("_i").alias("_ni"), F.col("_j").alias("_nj")).distinct()
+    of = lambda rows, k: rows.join(needed.where(F.col("_nk") == k), same & (F.col("_i") == F.col("_ni")) & (F.col("_j") == F.col("_nj")), "left_semi")
+    whole = at.where("_is").withColumns({"_k": F.lit(GROUND_LEVELS), "_i": F.lit(0).cast("long"), "_j": F.lit(0).cast("long"), "_own": F.lit(False)})
+    parts = [base, edge, far, of(whole, GROUND_LEVELS), *[of(around(at.where("_is"), k), k) for k in levels]]
+    dealt = parts[0].select(tagged)
+    for p in parts[1:]:
+        dealt = dealt.unionByName(p.select(tagged))
 
-    got = _per_tile(points, keys, work, _schema(points, "height double"))
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, x, y = pdf._own.to_numpy(bool), pdf.x.to_numpy(float), pdf.y.to_numpy(float)
+        fine = ~(np.isnan(x) | np.isnan(y))
+        g = pdf[ground].fillna(False).to_numpy(bool) & fine
+        mine = own.copy()
+        if pdf._k.iloc[0] == 0:  # points of bare squares are worked elsewhere
+            square = np.zeros(len(pdf), np.int64)
+            square[fine] = pd.factorize(np.floor(x[fine] / GROUND_SIDE) + 1j * np.floor(y[fine] / GROUND_SIDE))[0] + 1
+            mine &= ~fine | np.isin(square, np.unique(square[g & own]))
+        q = mine & fine
+        under = np.full(len(pdf), np.nan)
+        z = pdf.z.to_numpy(float)
+        under[q] = nearest_values(x[q], y[q], x[g], y[g], z[g])
+        return pdf[mine][columns].assign(height=(z - under)[mine])
+
+    got = dealt.groupBy(*keys, "_k", "_i", "_j").applyInPandas(work, _schema(points, "height double"))
     return got.withColumn("height", F.when(~F.isnan("height"), F.col("height")))
 
 
