@@ -230,6 +230,36 @@ def test_no_exploded_keys_are_broadcast(spark, columns):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def broadcasts(spark, run):
+    """Plans with a broadcast among those that ``run`` executes, and its result."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    before = {store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())}
+    out = run()
+    bus.waitUntilEmpty(30_000)
+    all_ = store.executionsList()
+    plans = [all_.apply(k).physicalPlanDescription() for k in range(all_.size()) if all_.apply(k).executionId() not in before]
+    assert any("SortMergeJoin" in p for p in plans)
+    return [p for p in plans if "Broadcast" in p], out
+
+
+def test_many_links_are_not_broadcast(spark):
+    """Far below the planner's threshold in packed bytes, but a round joins several such tables, which the driver would all hold."""
+    n = 100_000
+    edges = common.stored(spark.range(n).selectExpr("id - id % 10 u", "id v").where("u <> v"), "edges")
+    sent, wrong = broadcasts(spark, lambda: common.components(edges).where("root <> node - node % 10").count())
+    assert sent == [] and wrong == 0
+
+
+@pytest.mark.parametrize("again", [0, 1])
+def test_many_fingerprints_are_not_broadcast(spark, again):
+    """Documents go to their classes by sort and merge, with ids as names of classes and, where an id repeats, without."""
+    n = 70_000
+    docs = spark.range(n).selectExpr("id doc_id", "cast(id as string) text").unionByName(spark.range(again).selectExpr("id doc_id", "'again' text"))
+    sent, got = broadcasts(spark, lambda: simhash.near_duplicates(docs).agg({"*": "count", "component_id": "max"}).first())
+    assert [p for p in sent if "fp#" in p] == [] and got["count(1)"] == n + again  # the few links themselves may be sent
+
+
 def test_chains_drop_only_far_pairs():
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 63, 2000, dtype=np.uint64)

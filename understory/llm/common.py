@@ -188,6 +188,18 @@ def range_dealt(df: DataFrame, key: str, parts: int, per_part: int = 64) -> tupl
     return out, sorted((r["_part"], r["lo"], r["hi"], r["nul"]) for r in rows)
 
 
+# ---------------------------------------------------------------- joins of tables that grow
+
+
+#: Rows of a table that a join may send through the driver, about; larger ones are sorted and merged, whatever Spark's threshold.
+SENT_ROWS = 1 << 16
+
+
+def merged(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as one side of a join that may be broadcast only if it has few ``rows``: the planner goes by packed bytes, of which the driver holds a multiple."""
+    return df.hint("merge") if rows > SENT_ROWS else df
+
+
 # ---------------------------------------------------------------- links inside buckets
 
 
@@ -291,22 +303,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps until the stars are stable. Each round is written to the shared
     folder, so lineage stays short and a lost executor costs one round at most. Minima are combined before
     the shuffle; a node of very many links is split by the adaptive skew join. The steps end when nothing changes, after
-    a number of rounds that grows with the logarithm of the nodes. Delete the frame's files with ``discard``.
+    a number of rounds that grows with the logarithm of the nodes. Many links never pass the driver. Delete the frame's files with ``discard``.
     """
     spark = edges.sparkSession
     now = stored(_fold_local(edges.where("u <> v").select("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "links")
-    mark = None
+    mark, n = None, now.count()
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = both.where("v > u").join(merged(least, n), "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         small_least = large.groupBy(F.col("v").alias("w")).agg(F.min("u").alias("m"))
-        small = large.join(small_least, large.v == small_least.w)
+        small = large.join(merged(small_least, n), large.v == small_least.w)
         small = small.select("m", F.col("u").alias("x")).union(small_least.select("m", F.col("w").alias("x"))).where("m <> x").distinct()
         nxt = stored(small.select(F.col("m").alias("u"), F.col("x").alias("v")), "links")
         got = nxt.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))").alias("h")).first()
         discard(now)
-        now, seen = nxt, (got.n, got.h)
+        now, n, seen = nxt, got.n, (got.n, got.h)
         if seen == mark or not got.n:
             break
         mark = seen

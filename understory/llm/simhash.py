@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from understory.llm.common import block_pairs, components, discard, enter, forest, grouped_batches, map_batches, stored
+from understory.llm.common import block_pairs, components, discard, enter, forest, grouped_batches, map_batches, merged, stored
 
 SEED = 42
 WORDS = 3
@@ -149,17 +149,18 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         twice = named.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         if twice.isEmpty():
             found = components(near_links(named))
-            of = named.join(found, "node", "left").select("fp", F.coalesce("root", "node").cast(kind).alias("component_id"))
+            of = named.join(merged(found, named.count()), "node", "left").select("fp", F.coalesce("root", "node").cast(kind).alias("component_id"))
             of = stored(of, "classes")
             for done in (named, found):
                 discard(done)
-            return own.join(of, "fp").select(ident, "fp", "component_id")
+            return own.join(merged(of, of.count()), "fp").select(ident, "fp", "component_id")
         discard(named)
     found = components(near_links(classes.select("fp", F.col("fp").alias("node"))))
-    whole = found.join(classes, found.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
-    of = stored(classes.join(found.join(whole, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").cast(kind).alias("component_id")), "classes")
+    rows = own.count()
+    whole = found.join(merged(classes, rows), found.node == classes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
+    of = stored(classes.join(merged(found.join(merged(whole, rows), "root").select(F.col("node").alias("fp"), "component_id"), rows), "fp", "left").select("fp", F.coalesce("component_id", "least").cast(kind).alias("component_id")), "classes")
     discard(found)
-    return own.join(of, "fp").select(ident, "fp", "component_id")
+    return own.join(merged(of, of.count()), "fp").select(ident, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
